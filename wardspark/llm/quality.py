@@ -166,12 +166,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels, learnable())
     if model is None:
         return docs
-    wide = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    columns, wide = docs.columns, docs.withColumn("_text", F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "_text", most=2 << 20):
             good = model.scores(part.column("_text").to_pylist()) >= threshold
-            yield part.filter(pa.array(good)).select(docs.columns)
+            yield part.filter(pa.array(good)).select(columns)
 
     return wide.mapInArrow(run, docs.schema)
 
