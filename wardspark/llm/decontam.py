@@ -89,8 +89,9 @@ class Slice:
     def both(self, values: np.ndarray) -> np.ndarray:
         """Sums over the two blocks of the window that each block opens."""
         out = values.copy()
-        at = np.flatnonzero(self.pairs)
-        out[at] += values[at + 1]
+        out[:-1] += values[1:]
+        alone = np.flatnonzero(~self.pairs)
+        out[alone] = values[alone]
         return out
 
 
@@ -99,6 +100,7 @@ class Space:
 
     def __init__(self, idf: np.ndarray, basis: np.ndarray):
         self.idf, self.basis = idf.astype(np.float32), basis.astype(np.float32)
+        self.weighted = self.basis * self.idf[:, None]
 
     def _kept(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         weight = self.idf[s.term]
@@ -111,24 +113,33 @@ class Space:
         out = np.zeros((s.n, self.basis.shape[1]), np.float32)
         if len(term):
             heads = np.flatnonzero(np.diff(block, prepend=-1))
-            out[block[heads]] = np.add.reduceat(self.basis[term] * weight[:, None], heads, axis=0)
+            lengths = np.diff(np.concatenate([heads, [len(block)]]))
+            sums = self.weighted[term[heads]]
+            for k in range(1, int(lengths.max())):  # a block has BLOCK words at most
+                more = np.flatnonzero(lengths > k)
+                sums[more] += self.weighted[term[heads[more] + k]]
+            out[block[heads]] = sums
         squares = s.both(np.bincount(block, weight * weight, s.n))
         scale = np.where(s.opens & (squares > 0), 1 / np.sqrt(np.maximum(squares, 1e-12)), 0).astype(np.float32)
-        return s.both(out) * scale[:, None], scale
+        out = s.both(out)
+        out *= scale[:, None]
+        return out, scale
 
     def back(self, s: Slice, rows: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """A' rows: (terms, columns)."""
-        term, block, weight = self._kept(s)
+        term, block, _ = self._kept(s)
         out = np.zeros((len(self.idf), rows.shape[1]))
         if len(term):
             scaled = rows * scale[:, None]
-            whole = scaled.copy()
-            at = np.flatnonzero(s.pairs)
-            whole[at + 1] += scaled[at]
+            whole = scaled.copy()  # of both windows that a block is in
+            whole[1:] += scaled[:-1]
+            heads = s.base[:-1][np.diff(s.base) > 0]  # no window before a document's first block
+            whole[heads] = scaled[heads]
             order = np.argsort(term, kind="stable")
             t = term[order]
             heads = np.flatnonzero(np.diff(t, prepend=-1))
-            out[t[heads]] = np.add.reduceat(whole[block[order]] * weight[order][:, None], heads, axis=0)
+            out[t[heads]] = np.add.reduceat(whole[block[order]], heads, axis=0)
+            out *= self.idf[:, None]
         return out
 
 
