@@ -5,8 +5,8 @@ role, class or id names them as navigation, header, footer, sidebar, notice,
 advert, form, script, comment and the like are left out. First pass: link
 density, length and stop-word density make a block good, bad, or, if it is
 short, undecided. Second pass: undecided blocks take the label of the nearest
-decided neighbour; between two as near, and where none is decided, blocks of an
-article or main element are good and others bad.
+decided neighbour; between a good and a bad one as near they are good. Where none
+is decided, blocks of an article or main element are good and others bad.
 
 Null html is empty and gives an empty text. Broken markup, unclosed elements and
 very long pages are read to the end. Rows that repeat are extracted each. Other
@@ -196,7 +196,7 @@ def extract(page: str) -> str:
             elif labels[b] == labels[a] or i - b != a - i:
                 good = labels[b if i - b < a - i or labels[b] == labels[a] else a]
             else:
-                good = in_article
+                good = True
         if good:
             kept.append(text)
     return " ".join(kept)

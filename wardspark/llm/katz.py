@@ -195,9 +195,10 @@ def _by_part(n: int):
 
 def _numbered(row: dict, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all tokens with an end after every text, document of each)."""
-    local = np.frombuffer(common.read_file(f"{folder}/numbers", f"{row['chunk']}.u4"), "<u4")
-    tokens = unpack(row["tokens"], "<u4")
     lengths = np.array(row["lengths"], np.int64)
+    # a slice without words has no file of numbers
+    local = np.frombuffer(common.read_file(f"{folder}/numbers", f"{row['chunk']}.u4") if lengths.any() else b"", "<u4")
+    tokens = unpack(row["tokens"], "<u4")
     doc = np.repeat(np.arange(len(lengths)), lengths + 1)
     out = np.full(len(doc), END, np.uint32)
     is_word = np.ones(len(doc), bool)
