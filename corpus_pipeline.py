@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardspark.llm import common, decontam, mixing, quality, simhash, token_codes
+from wardspark.llm import common, decontam, mixing, near_dups, quality, token_codes
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest id, of each class of texts of similarity 0.8 or more."""
+    return near_dups.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardspark.llm import common, html_text, katz, mixing, quality, simhash, toxicity
+from wardspark.llm import common, html_text, katz, mixing, near_dups, quality, toxicity
 
 SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -186,7 +186,7 @@ def test_pipeline_stages(spark):
         out = common.saved(stage(spark, docs, SF01), f"{folder}/{n}")
         before, after = docs.count(), out.count()
         if name == "near_dedup":
-            classes = simhash.classes(docs).agg(F.countDistinct("component_id").alias("n")).first().n
+            classes = near_dups.classes(docs).agg(F.countDistinct("component_id").alias("n")).first().n
             assert after == classes
         if name == "tokens":
             assert after == before and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

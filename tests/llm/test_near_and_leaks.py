@@ -5,9 +5,9 @@ import random
 import numpy as np
 import xxhash
 
-from wardspark.llm import common, decontam, lex, simhash
+from wardspark.llm import common, decontam, lex, near_dups, simhash
 
-SF = "/root/testdata/sf0.001"
+SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def plain_fingerprint(text, n=4):
@@ -148,3 +148,46 @@ def test_lcs():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert decontam.lcs(decontam.masks_of(np.array(a)), len(a), b) == table[-1][-1]
+
+
+def test_wide_classes(spark, odd_docs, no_docs):
+    """Classes of similarity 0.8: against all pairs of fingerprints, and of shingle sets well on either side."""
+    rows = common.table(spark, SF01, "documents").select("doc_id", "text").collect()
+    wide = near_dups.fingerprints_of([r.text for r in rows])
+    ids, parent = [r.doc_id for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in range(len(rows)):
+        for q in np.flatnonzero(np.bitwise_count(wide[k][None] ^ wide[:k]).sum(1, dtype=int) <= near_dups.BITS):
+            a, b = find(k), find(int(q))
+            parent[max(a, b)] = min(a, b)
+    want = {ids[k]: ids[find(k)] for k in range(len(rows))}
+    got = {r.doc_id: r.component_id for r in near_dups.classes(common.table(spark, SF01, "documents")).collect()}
+    agreed = sum(got[i] == want[i] for i in ids)
+    assert agreed >= 0.995 * len(ids) and all(got[i] >= want[i] for i in ids)  # nothing is joined that should not be
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (common.words_of(r.text) for r in rows)]
+    for k in range(0, len(rows), 7):
+        for q in range(k):
+            share = len(sets[k] & sets[q]) / len(sets[k] | sets[q])
+            if share >= 0.85:
+                assert got[ids[k]] == got[ids[q]]
+    odd = near_dups.classes(odd_docs)
+    assert odd.count() == odd_docs.count() and near_dups.classes(no_docs).count() == 0
+    assert {r.component_id for r in odd.filter("doc_id in (0, 1, 2)").collect()} == {0}
+
+
+def test_wide_forest_and_pairs_agree():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (3, 8)).astype(np.uint64)
+    noise = np.packbits(rng.random((600, 512)) < 0.06, axis=1, bitorder="little").view(np.uint64).reshape(-1, 8)
+    wide = base[rng.integers(0, 3, 600)] ^ noise
+    links = [p for a, b in near_dups.forest(wide, near_dups.BITS) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(links) == 597
+    small = wide[:200]
+    pairs = {p for a, b in near_dups.pairs_within(np.zeros(200, np.int32), small, near_dups.BITS) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(a, b) for b in range(200) for a in range(b) if np.bitwise_count(small[a] ^ small[b]).sum(dtype=int) <= near_dups.BITS}
+    assert pairs == want
