@@ -145,9 +145,11 @@ def _links(bits: int):
         def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows)
             node = table.column("node").to_numpy()
-            for a, b in pairs_within(table.column("key").to_numpy(), _matrix(table.column("wide").to_pylist()), bits):
-                if len(a):
-                    yield pa.record_batch([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], names=["u", "v"])
+            found = list(pairs_within(table.column("key").to_numpy(), _matrix(table.column("wide").to_pylist()), bits))
+            if sum(len(a) for a, _ in found):
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+                made = simhash.spanning(node[a], node[b])  # what connects the groups, not their pairs
+                yield pa.record_batch([pa.array(c) for c in made], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:

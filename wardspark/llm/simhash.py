@@ -186,6 +186,24 @@ def forest(nodes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its class) for the classes that links (x, y) make, without the smallest ones themselves."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b, label = at[: len(x)], at[len(x) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[rest], nodes[label[rest]]
+
+
 def _links(bits: int, big: int = 200_000):
     def pairs(key: np.ndarray, fp: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links among whole key groups, sorted by key."""
@@ -216,10 +234,8 @@ def _links(bits: int, big: int = 200_000):
 
         def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for x, y in pairs(*cols):
-                lo, hi = np.minimum(x, y), np.maximum(x, y)
-                if len(lo):
-                    both = np.unique(np.stack([hi, lo], 1), axis=0)
-                    yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+                if len(x):
+                    yield pa.record_batch([pa.array(c) for c in spanning(x, y)], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -272,7 +288,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     while seen.n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        upward = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         n += 1
