@@ -8,11 +8,14 @@ smallest by code point is reported, which makes every output deterministic.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardspark.functions import tokens
 from wardspark.functions.normalize import normalize, variants
+from wardspark.functions.stem import SuffixStemmer
 from wardspark.sources.packs import Pack
 
 SEVERITIES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
@@ -35,12 +38,20 @@ def edit_distance_le_1(a: Column, b: Column) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 1) >= 0)
 
 
+def _may_stem_to(word: Column, pack: Pack) -> Column:
+    """A suffix stemmer keeps the start of a word, but for a restored y."""
+    if not isinstance(pack.stemmer, SuffixStemmer) or not pack.bad_words:
+        return F.lit(True)
+    starts = {w.removesuffix("y") if pack.stemmer.restore_y else w for w in pack.bad_words}
+    return word.rlike(f"^(?:{'|'.join(map(re.escape, sorted(starts)))})")
+
+
 def exact_term(word: Column, pack: Pack) -> Column:
-    """The stem of a word that is listed itself or by its stem; else null."""
+    """The stem of a word that is listed itself or by its stem; else null. Few words get as far as the stemmer."""
     root = pack.stemmer(word)
     listed = root.isin(*pack.lexicon) | word.isin(*pack.lexicon)
     bad = F.when(root.isin(*pack.lexicon), root).otherwise(word)
-    return F.when(listed & ~context_clean(word, bad, pack), root)
+    return F.when(_may_stem_to(word, pack), F.when(listed & ~context_clean(word, bad, pack), root))
 
 
 def concat_term(window: Column, pack: Pack) -> Column:
