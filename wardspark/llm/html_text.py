@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,7 +54,7 @@ OUT_NAMES = frozenset(
 )
 OUT_OUTSIDE = frozenset(["header", "top", "bottom", "aside"])
 CONTAINERS = frozenset("article section main div body td th li ul ol table blockquote aside nav footer header form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MIN_CHARS, STOP_LOW, STOP_HIGH, LONG_CHARS, LINKS_HIGH = 70, 0.15, 0.25, 200, 0.4
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -80,7 +81,8 @@ def _leaves_out(tag: str, attrs: str, in_article: bool) -> bool:
 def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters inside links, inside an article, is a heading) of the blocks that are not left out."""
     out, parts, links = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in article
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, left out, in article, open links, in a heading
+    opened: Counter[str] = Counter()  # tags of the stack
     skip, article, link, heading, at = False, False, 0, False, 0
 
     def flush() -> None:
@@ -91,11 +93,11 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 out.append((text, links, article, heading))
         parts, links = [], 0
 
-    def restore() -> None:
+    def close(depth: int) -> None:
         nonlocal skip, article, link, heading
-        skip, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        link = sum(1 for t in stack if t[0] == "a")
-        heading = any(t[0] in HEADINGS for t in stack)
+        opened.subtract(t[0] for t in stack[depth:])
+        del stack[depth:]
+        skip, article, link, heading = stack[-1][1:] if stack else (False, False, 0, False)
 
     def said(text: str) -> None:
         nonlocal links
@@ -113,10 +115,9 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCKS:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
-                    restore()
+                    close(i)
                     break
                 if tag not in BLOCKS and stack[i][0] in CONTAINERS:
                     break  # an inline end tag does not close a container
@@ -130,21 +131,16 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in BLOCKS:  # a block element ends an open paragraph
+        if tag in BLOCKS and opened["p"] > 0:  # a block element ends an open paragraph
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
-                    restore()
+                    close(i)
                     break
                 if stack[i][0] in CONTAINERS:
                     break
-        article_now = article or tag in ("article", "main")
-        stack.append((tag, skip or _leaves_out(tag, m[3], article), article_now))
-        skip, article = stack[-1][1], article_now
-        if tag == "a":
-            link += 1
-        elif tag in HEADINGS:
-            heading = True
+        stack.append((tag, skip or _leaves_out(tag, m[3], article), article or tag in ("article", "main"), link + (tag == "a"), heading or tag in HEADINGS))
+        opened[tag] += 1
+        skip, article, link, heading = stack[-1][1:]
     said(page[at:])
     flush()
     return out
