@@ -1,9 +1,10 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector, three ordered
-thresholds, four grades (0 clean to 3 severe). x marks which hashed words a text
-holds. Features are chosen by chi-square against the label, weights and
-thresholds fitted together by Adam with an L2 penalty. The output is the
+thresholds, four grades (0 clean to 3 severe). x marks which words and word
+beginnings (4 to 8 bytes) a text holds; beginnings carry over to words that were
+not seen in fitting. Features are chosen by chi-square against the label, weights
+and thresholds fitted together by Adam with an L2 penalty. The output is the
 expected grade, its most likely value and P(grade >= 1).
 
 The labels say only toxic or not. Grades for fitting: 0 if not toxic; a toxic
@@ -13,7 +14,7 @@ toxic texts: up to one 1, two 2, more 3.
 Fitted on at most ``SAMPLE`` labelled rows on the driver; scoring is one pass
 over all rows and whole texts without a shuffle. Null and empty texts have no
 features and get the base rate. Repeated rows score alike. Without labels of both
-classes every severity is 0. Other columns are ignored.
+classes, or words to learn from, every severity is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,20 +27,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardspark.llm import common, lex, sampling
 
-BITS, SAMPLE, CHOSEN, STEPS, GRADES = 20, 10_000, 2000, 250, 4
+BITS, SAMPLE, CHOSEN, STEPS, GRADES = 31, 10_000, 2000, 250, 4
+SHORTEST, LONGEST = 4, 8  # of the word beginnings, in bytes
+RARE = 3  # texts of the sample that must hold a term
 RESULT = "doc_id long, expected_severity double, grade int, p_toxic double, toxic boolean"
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hashed word) pairs, each once."""
+def found(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hashed word or word beginning), repeats included."""
     w = lex.Words(texts)
-    pairs = np.unique(w.doc.astype(np.int64) << BITS | (w.hash >> np.uint64(64 - BITS)).astype(np.int64))
+    at, hashes = zip((np.arange(len(w)), w.hash), *w.prefixes(SHORTEST, LONGEST), strict=True)
+    return w.doc[np.concatenate(at)], (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same, each pair once, ordered by text."""
+    doc, term = found(texts)
+    pairs = np.unique(doc.astype(np.int64) << BITS | term)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    """``terms`` in ascending order with their ``weights``, and the thresholds."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        self.terms, self.weights, self.thresholds = terms, weights, thresholds
 
     def grades(self, strength: np.ndarray) -> np.ndarray:
         """P(grade) by row."""
@@ -48,19 +60,19 @@ class Model:
         return np.diff(full, axis=1)
 
     def strength(self, texts: list[str]) -> np.ndarray:
-        w = lex.Words(texts)
-        at = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
-        used = self.weights[at] != 0
-        pairs = np.unique(w.doc[used].astype(np.int64) << BITS | at[used])
+        doc, term = found(texts)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        used = self.terms[at] == term
+        pairs = np.unique(doc[used].astype(np.int64) << BITS | at[used])
         return np.bincount(pairs >> BITS, self.weights[pairs & ((1 << BITS) - 1)], len(texts))
 
 
 def choose(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(terms by chi-square, those found almost only in toxic texts)."""
-    pos = np.bincount(terms, y[docs], 1 << BITS)
-    all_ = np.bincount(terms, minlength=1 << BITS).astype(float)
+    """(terms by chi-square, those found almost only in toxic texts); terms are small numbers."""
+    pos = np.bincount(terms, y[docs])
+    all_ = np.bincount(terms).astype(float)
     n, p = len(y), y.sum()
-    ok = all_ >= 3
+    ok = all_ >= RARE
     a, b, c = pos[ok], all_[ok] - pos[ok], p - pos[ok]
     d = n - a - b - c
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
@@ -73,12 +85,21 @@ def fit(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, steps: int = STEPS,
     """``docs`` and ``terms`` are the pairs of features(); ``y`` is 0 or 1 by document."""
     if not len(y) or y.min() == y.max():
         return None
+    ordered = np.sort(terms)
+    heads = np.flatnonzero(np.diff(ordered, prepend=-1))
+    known = ordered[heads[np.diff(np.append(heads, len(ordered))) >= RARE]]
+    if not len(known):
+        return None
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    often = known[at] == terms
+    docs, terms = docs[often], at[often]
     best, marked = choose(docs, terms, y, CHOSEN)
-    is_marked = np.zeros(1 << BITS, bool)
+    is_marked = np.zeros(len(known), bool)
     is_marked[marked] = True
     hits = np.bincount(docs[is_marked[terms]], minlength=len(y))
     grade = np.where(y == 1, np.clip(hits, 1, GRADES - 1), 0)
-    place = np.full(1 << BITS, -1)
+    best = np.sort(best)
+    place = np.full(len(known), -1)
     place[best] = np.arange(len(best))
     col = place[terms]
     row, col = docs[col >= 0], col[col >= 0]
@@ -103,9 +124,7 @@ def fit(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, steps: int = STEPS,
         grad = np.concatenate([np.bincount(col, ((up - low) / len(y))[row], k) + decay * w, [d_theta.sum()], d_steps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[best] = p[:k]
-    return Model(weights, p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]))
+    return Model(known[best], p[:k], p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = SAMPLE) ->
     rows = sampling.gathered(sampling.labelled(docs, labels, "toxic", most, where), _featured, "doc_id long, label int, terms binary")
     if not rows:
         return None
-    found = [np.frombuffer(r.terms, "<i4") for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-    return fit(doc, np.concatenate(found).astype(np.int64), np.array([int(r.label > 0) for r in rows]))
+    held = [np.frombuffer(r.terms, "<i4") for r in rows]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in held])
+    return fit(doc, np.concatenate(held), np.array([int(r.label > 0) for r in rows]))
 
 
 def _scorer(model: Model | None):
