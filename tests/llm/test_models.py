@@ -3,13 +3,15 @@
 import html
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardspark.llm import common, html_text, katz, mixing, near_dups, quality, toxicity
+from wardspark.llm import common, decontam, html_text, katz, mixing, near_dups, quality, simhash, toxicity
 
 SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -89,8 +91,6 @@ def test_quality(spark, odd_docs, no_docs):
 
 def test_quality_gradient():
     """The fitted network separates bags by one bad passage, which attention must find."""
-    import numpy as np
-
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 6, 300)
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -178,6 +178,36 @@ def test_extraction_of_tables(spark):
     assert html_text.extracted(odd).count() == 4 and html_text.extracted(odd.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    many = 60_000
+    for page in ("<a" * many, "<a '\"" * many, "<!x" * many, "<b>" * many + "x</i>" * many, "<a>" * many + "x</a>" * many):
+        began = time.time()
+        html_text.extract(page)
+        assert time.time() - began < 20
+
+
+def test_toxic_word_beginnings_reach_unseen_words():
+    """Texts are toxic by a word of one beginning and ever new endings; single words say nothing."""
+    texts = [f"filler{i} word{i % 7} {'grumbl' if i % 3 == 0 else 'kindly'}{i}x" for i in range(600)]
+    y = np.array([int(i % 3 == 0) for i in range(600)])
+    doc, term = toxicity.features(texts)
+    assert set(zip(doc.tolist(), term.tolist(), strict=True)) == {(d, t) for i, text in enumerate(texts) for d, t in ((i, t) for t in toxicity.features([text])[1].tolist())}
+    model = toxicity.fit(doc, term, y)
+    p = 1 - model.grades(model.strength(["unseen grumblzzz", "unseen kindlyzzz", ""]))[:, 0]
+    assert p[0] > 0.5 > p[1] and p[2] < 0.5
+    assert toxicity.fit(*toxicity.features(["", " "]), np.array([0, 1])) is None
+
+
+def test_stages_leave_other_columns_as_they_are(spark, odd_docs):
+    """Whatever names they have, those that the operators use inside included."""
+    names = ["_kept", "_bad", "_tokens", "_source", "_p", "_row", "node", "k"]
+    odd = odd_docs.withColumns({n: F.lit(n) for n in names})
+    rows = Counter(map(repr, odd.collect()))
+    labels, bench = common.table(spark, SF01, "labels"), common.table(spark, SF01, "benchmark")
+    for kept in (quality.keep_good(odd, labels), simhash.keep_one(odd), near_dups.keep_one(odd), decontam.keep_clean(odd, bench), mixing.keep_selected(odd)):
+        assert kept.columns == odd.columns and not Counter(map(repr, kept.collect())) - rows
+
+
 def test_pipeline_stages(spark):
     """Each stage does to its own input what its operator says, and the last table covers what is left."""
     docs = common.table(spark, SF01, "documents")

@@ -325,7 +325,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose id is not that of a contaminated document, with all their columns."""
     bad = judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.alias("d").join(bad.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._bad")), "left_anti")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,12 @@ def weighed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power:
     return out.drop(*[f"_{d}" for d in DIMENSIONS], "_tokens", "_share", "_weight", "_p")
 
 
+def keep_selected(docs: DataFrame, **how) -> DataFrame:
+    """The selected rows with all their columns as they were, whatever these are called."""
+    rows = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row"))
+    return weighed(rows, **how).filter("selected").select("_row.*")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = weighed(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")

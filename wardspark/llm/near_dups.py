@@ -191,4 +191,4 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` whose id names their class: one document of each group."""
     kept = classes(docs, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._kept")), "left_semi")

@@ -166,14 +166,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels, learnable())
     if model is None:
         return docs
-    columns, wide = docs.columns, docs.withColumn("_text", F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "_text", most=2 << 20):
-            good = model.scores(part.column("_text").to_pylist()) >= threshold
-            yield part.filter(pa.array(good)).select(columns)
+        for part in common.slices(batches, most=2 << 20):
+            good = model.scores([t or "" for t in part.column("text").to_pylist()]) >= threshold
+            yield part.filter(pa.array(good))
 
-    return wide.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,7 +318,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame
 def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` whose id names their class: one document of each group."""
     kept = classes(docs, size, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
