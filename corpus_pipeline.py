@@ -33,7 +33,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with probabilities raked to the target marginals."""
-    return mixing.weighed(docs).filter("selected").select(docs.columns)
+    return mixing.keep_selected(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
