@@ -139,6 +139,20 @@ def test_paraphrase_is_found(spark):
     assert not got[10**6 + 1].contaminated
 
 
+def test_wide_leaks_are_found(spark):
+    """A passage that stands in a third of all rows, and one in three documents of a tiny table, whose words all are frequent by it."""
+    docs, bench = common.table(spark, SF, "documents").select("doc_id", "text"), common.table(spark, SF, "benchmark")
+    item = max(bench.collect(), key=lambda r: len(r.text.split()))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    spread = [(i, f"{t} {item.text} {t}" if n % 3 == 0 else t) for n, (i, t) in enumerate(rows)]
+    copies = rows + [(10**6 + n, item.text) for n in range(len(rows) // 2)]
+    tiny = [(n, f"one two three four {item.text} five six") for n in range(3)] + [(3, "another text of a few words"), (4, None)]
+    items = decontam.Items(sorted(bench.collect(), key=lambda r: r.item_id))
+    for some, sure in ((spread, {i for n, (i, _) in enumerate(rows) if n % 3 == 0}), (copies, {i for i, _ in copies if i >= 10**6}), (tiny, {0, 1, 2})):
+        bad = {r.doc_id for r in decontam.judged(spark.createDataFrame(some, "doc_id long, text string"), bench).filter("contaminated").collect()}
+        assert sure <= bad and bad == {i for (i, _), b in zip(some, _brute([t for _, t in some], items), strict=True) if b}
+
+
 def test_lcs():
     rng = random.Random(3)
     for _ in range(200):

@@ -10,7 +10,11 @@ directions. Benchmark passages enter A with the weight of all windows together,
 so their own directions are kept.
 
 Windows whose cosine with a benchmark passage in that space reaches ``COSINE``
-are candidates. Each is checked with as many words on either side as the item
+are candidates. So are, whatever their vectors, all windows that share so many
+words with an item that the limits below can be met: words that a leak itself
+makes frequent have no weight in the vectors, and are found by this exact search.
+It looks at the words of each item that the corpus has least often, just so many
+that a leak must hold ``SHARED`` of the item in them. Each candidate is checked with as many words on either side as the item
 has: the longest common subsequence of words, as a share of the item, must reach
 ``LCS``, or ``PARAPHRASE`` where also the item's answer (its last ``ANSWER``
 words) is found in order to ``ANSWER_SHARE``. Words outside the benchmark's
@@ -38,6 +42,8 @@ from wardspark.llm.katz import pack, unpack
 
 BLOCK, RANK, EXTRA, SEED = 16, 96, 8, 11
 MAX_SHARE, COSINE, LCS, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.01, 0.5, 0.8, 0.6, 8, 0.75
+#: Share of an item's words that the exact search asks for among its rarest words.
+SHARED = 0.2
 RESULT = "doc_id long, contaminated boolean, item_id long, lcs_share double, answer_share double, cosine double"
 
 
@@ -215,13 +221,69 @@ def _total(parts: DataFrame, columns: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.data, "<f8").reshape(-1, columns) for r in rows]) if rows else np.zeros((0, columns))
 
 
+class Rarest:
+    """For each term the items that it is one of the rarest words of, and how many such words a leak of an item has.
+
+    A subsequence of ``PARAPHRASE`` of n words misses n - ceil(PARAPHRASE n) of
+    them at most; it has the others of any set of the item's words.
+    """
+
+    def __init__(self, items: Items, found: np.ndarray):
+        terms, owners, need, span = [], [], [], []
+        for j, x in enumerate(items.terms):
+            n = len(x)
+            missed = n - int(np.ceil(PARAPHRASE * n - 1e-9))
+            distinct, times = np.unique(x, return_counts=True)
+            order = np.argsort(found[distinct], kind="stable")
+            total = np.cumsum(times[order])
+            some = int(np.searchsorted(total, missed + int(np.ceil(SHARED * n)))) + 1
+            terms.append(distinct[order[:some]])
+            owners.append(np.full(len(terms[-1]), j))
+            need.append(int(total[len(terms[-1]) - 1]) - missed)
+            span.append(2 * n + 2 * BLOCK)
+        term, owner = np.concatenate(terms), np.concatenate(owners)
+        order = np.argsort(term, kind="stable")
+        self.owner, self.need, self.span = owner[order], np.array(need), np.array(span)
+        self.start = np.searchsorted(term[order], np.arange(len(found) + 1))
+
+    def windows(self, s: Slice) -> set[tuple[int, int]]:
+        """(block, item) of all windows whose words checked hold enough of the item's rarest words."""
+        at = np.flatnonzero(s.terms >= 0)
+        reps = np.diff(self.start)[s.terms[at]]
+        at, reps = at[reps > 0], reps[reps > 0]
+        place = np.repeat(at, reps)
+        inside = np.arange(len(place)) - np.repeat(np.cumsum(reps) - reps, reps)
+        item = self.owner[self.start[s.terms[place]] + inside]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        at = np.flatnonzero(last < len(item))
+        last = last[at]
+        ok = item[last] == item[at]
+        at, last = at[ok], last[ok]
+        at, last = at[(close := place[last] - place[at] < self.span[item[at]])], last[close]
+        p, q, j = place[at], place[last], item[at]
+        doc = np.searchsorted(s.first, p, "right") - 1
+        same = q < s.first[doc + 1]
+        p, q, j, doc = p[same], q[same], j[same], doc[same]
+        size = self.span[j] // 2 - BLOCK
+        # heads of windows that have both p and q among the words checked
+        low = -(-np.maximum(q - 2 * BLOCK - size + 1 - s.first[doc], 0) // BLOCK)
+        high = np.minimum((p + size - s.first[doc]) // BLOCK, s.base[doc + 1] - s.base[doc] - 1)
+        n = np.maximum(high - low + 1, 0)
+        block = np.repeat(s.base[doc] + low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        pairs = np.unique(block * len(self.need) + np.repeat(j, n))
+        return set(zip((pairs // len(self.need)).tolist(), (pairs % len(self.need)).tolist(), strict=True))
+
+
 class Ready:
-    """What a search needs: the items, the space, and the latent vectors of their passages with their item."""
+    """What a search needs: the items, the space, the latent vectors of their passages with their item, and their rarest words."""
 
-    def __init__(self, items: Items, space: Space, own: Slice):
+    def __init__(self, items: Items, space: Space, own: Slice, found: np.ndarray):
         rows, _ = space.rows(own)
         used = np.flatnonzero(own.opens)
         self.items, self.space, self.queries, self.owner = items, space, unit(rows[used]), own.doc[used]
+        self.rarest = Rarest(items, found)
         self.tables = [(set(x.tolist()), masks_of(x), len(x), masks_of(x[-ANSWER:]), min(ANSWER, len(x))) for x in items.terms]
 
 
@@ -246,7 +308,7 @@ def prepared(coded: DataFrame, items: Items, rank: int = RANK, seed: int = SEED)
     rows = basis.rows(own)[0].astype(np.float64)
     small = (small if len(small) else 0.0) + share * rows.T @ rows
     values, vectors = np.linalg.eigh(small)
-    return Ready(items, Space(idf, basis.basis @ vectors[:, np.argsort(-values)[:rank]]), own)
+    return Ready(items, Space(idf, basis.basis @ vectors[:, np.argsort(-values)[:rank]]), own, found)
 
 
 # ---- candidates and checks -----------------------------------------------------------
@@ -277,25 +339,33 @@ def verdicts(s: Slice, ready: Ready, cosine: float = COSINE) -> list[tuple]:
     """(contaminated, item_id, lcs_share, answer_share, cosine) of each document: its worst candidate."""
     best: list[tuple] = [(False, None, 0.0, 0.0, 0.0)] * (len(s.first) - 1)
     rows, _ = ready.space.rows(s)
+    top: dict[tuple[int, int], float] = {}
     for lo in range(0, s.n, 20_000):
         near = unit(rows[lo : lo + 20_000]) @ ready.queries.T
         at, q = np.nonzero(near >= cosine)
-        top: dict[tuple[int, int], float] = {}
-        for i, j, c in zip(at.tolist(), ready.owner[q].tolist(), near[at, q].tolist(), strict=True):
+        for i, j, c in zip((lo + at).tolist(), ready.owner[q].tolist(), near[at, q].tolist(), strict=True):
             top[i, j] = max(c, top.get((i, j), 0.0))
-        for (i, j), c in top.items():
-            b = lo + i
-            d = int(s.doc[b])
-            words, masks, size, answer_masks, answer_size = ready.tables[j]
-            first, end = int(s.first[d]), int(s.first[d + 1])
-            head = first + (b - int(s.base[d])) * BLOCK
-            region = [x for x in s.terms[max(first, head - size) : min(end, head + 2 * BLOCK + size)].tolist() if x in words]
-            if len(region) < PARAPHRASE * size:  # no subsequence is longer than the words shared
+    for b, j in ready.rarest.windows(s):
+        top.setdefault((b, j), -1.0)
+    known: dict[tuple, tuple[float, float]] = {}
+    for (b, j), c in top.items():
+        d = int(s.doc[b])
+        words, masks, size, answer_masks, answer_size = ready.tables[j]
+        first, end = int(s.first[d]), int(s.first[d + 1])
+        head = first + (b - int(s.base[d])) * BLOCK
+        region = [x for x in s.terms[max(first, head - size) : min(end, head + 2 * BLOCK + size)].tolist() if x in words]
+        if len(region) < PARAPHRASE * size:  # no subsequence is longer than the words shared
+            continue
+        key = (j, *region)
+        if key not in known:
+            known[key] = lcs(masks, size, region) / size, lcs(answer_masks, answer_size, region) / answer_size
+        share, answer = known[key]
+        bad = share >= LCS or (share >= PARAPHRASE and answer >= ANSWER_SHARE)
+        if c < 0:  # found by its words: what its vector says
+            if not bad:
                 continue
-            share = lcs(masks, size, region) / size
-            answer = lcs(answer_masks, answer_size, region) / answer_size
-            bad = share >= LCS or (share >= PARAPHRASE and answer >= ANSWER_SHARE)
-            best[d] = max(best[d], (bad, ready.items.ids[j], share, answer, c), key=lambda v: (v[0], v[2], v[3], v[4]))
+            c = max(0.0, float((unit(rows[b : b + 1]) @ ready.queries[ready.owner == j].T).max()))
+        best[d] = max(best[d], (bad, ready.items.ids[j], share, answer, c), key=lambda v: (v[0], v[2], v[3], v[4]))
     return best
 
 
