@@ -205,3 +205,28 @@ def test_wide_forest_and_pairs_agree():
     pairs = {p for a, b in near_dups.pairs_within(np.zeros(200, np.int32), small, near_dups.BITS) for p in zip(a.tolist(), b.tolist(), strict=True)}
     want = {(a, b) for b in range(200) for a in range(b) if np.bitwise_count(small[a] ^ small[b]).sum(dtype=int) <= near_dups.BITS}
     assert pairs == want
+
+
+def _similar_classes(rows):
+    """Class of each (id, text): the least id of what pairs of Jaccard similarity 0.8 or more connect."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (common.words_of(t) for _, t in rows)]
+    least = {i: i for i, _ in rows}
+    changed = True
+    pairs = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    return least
+
+
+def test_repeated_lines_do_not_decide(spark):
+    """One line repeated in two different texts joins nothing; the same text with a line once and five times is one class."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, body = words(20), words(200)
+    rows = [(i, f"{words(100)} " + f"{line} " * 8) for i in range(6)] + [(10, f"{body} {line}"), (11, f"{body} " + f"{line} " * 5)]
+    got = {r.doc_id: r.component_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _similar_classes(rows) and len(set(got.values())) == 7

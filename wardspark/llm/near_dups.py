@@ -1,22 +1,28 @@
 """Near-duplicates of similarity 0.8 or more by wide SimHash and Golay indices.
 
-The 64 bits and 4 errors of the narrow fingerprint reach only texts that are
-almost equal. Here a text has 512 bits over its five-word shingles. Texts with a
-Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15 % of the bits,
-about 77; ``BITS``, 86, is the limit. Unrelated texts differ in about 256, texts
-that share half their shingles in about 137.
-
-Search: 33 segments of 23 bits, 22 of the bits in order and 11 of them shuffled,
+The similarity is that of Jaccard over the sets of five-word shingles, repeats
+not counted; a text of fewer words is one shingle. The 64 bits and 4 errors of the
+narrow fingerprint reach only texts that are almost equal. Here a text has 512
+bits over its set. Texts with a similarity of 0.8 differ in about 77 bits
+(``BITS``, 86, is a standard deviation more), unrelated ones in about 256. Texts
+within ``REACH`` are candidates.
+
+Search: 44 segments of 23 bits, 22 of the bits in order and 22 of them shuffled,
 are decoded to the nearest codeword of the perfect Golay code. Its 12-bit index
 absorbs errors: at 15 % of errors two texts agree in an eighth of their indices,
-unrelated ones in 1 of 4096. Rows meet by segment and index; pairs are verified by
-the distance of the whole fingerprints. A pair at 15 % of errors meets in one
-segment at least with probability 0.98, closer ones with more. Large groups give
-the links of a spanning forest instead of pairs; none is capped.
-
-Fingerprints that are equal are one node, so copies cost nothing. Null text is
-empty; texts without words are all alike. Repeated rows stay repeated; see
-``simhash`` for ids and other columns.
+unrelated ones in 1 of 4096. Rows meet by segment and index. Sets of up to
+``SHORT`` shingles, whose distances vary most, meet by shingles too: two of
+similarity 0.8 have one of the first fifth of either set, in the order of the
+hashes, in common. Large groups give the links of a spanning forest instead of
+pairs; none is capped.
+
+What candidates connect comes together, one text a node with its set, and is
+divided again by the similarity of the sets: only links of ``SIMILARITY`` or more
+make classes.
+
+Texts of equal sets are one node, so copies cost nothing. Null text is empty;
+texts without words are all alike. Repeated rows stay repeated; see ``simhash``
+for ids and other columns.
 """
 
 from __future__ import annotations
@@ -33,21 +39,30 @@ from pyspark.sql import functions as F
 from wardspark.llm import common, simhash
 
 SHINGLE, LANES, BITS, SEED, LARGE = 5, 8, 86, 42, 256
-#: Bits of the segments, 23 each: all in order, then half of them shuffled.
-ORDER = np.concatenate([np.arange(22 * 23), np.random.default_rng(7).permutation(512)[: 11 * 23]])
+SIMILARITY, REACH, SHORT = 0.8, 110, 24
+#: Bits of the segments, 23 each: all in order, then shuffled.
+ORDER = np.concatenate([np.arange(22 * 23), np.random.default_rng(7).permutation(512)[: 22 * 23]])
 SEGMENTS = len(ORDER) // 23
 
 
 # ---- fingerprints ------------------------------------------------------------------
-def fingerprints_of(texts: list[str]) -> np.ndarray:
-    """(text, lane) fingerprints of 64 bits a lane: a bit is set if over half the hashes of the lane have it."""
-    counts, hashes = [], []
+def sets_of(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of the distinct shingles of each text, sorted."""
+    out = []
     for text in texts:
         w = common.words_of(text)
         grams = map(b" ".join, zip(*[w[i:] for i in range(SHINGLE)], strict=False)) if len(w) >= SHINGLE else [b" ".join(w)] if w else []
-        made = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
-        counts.append(len(made))
-        hashes.append(made)
+        out.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)))
+    return out
+
+
+def fingerprints_of(texts: list[str]) -> np.ndarray:
+    """(text, lane) fingerprints of 64 bits a lane: a bit is set if over half the texts' distinct shingles have it."""
+    return wide_of(sets_of(texts))
+
+
+def wide_of(hashes: list[np.ndarray]) -> np.ndarray:
+    texts, counts = hashes, [len(x) for x in hashes]
     h, n = np.concatenate(hashes), np.array(counts)
     place = np.repeat(np.arange(len(texts)) * 256, n)
     out = np.zeros((len(texts), LANES), np.uint64)
@@ -65,12 +80,26 @@ def fingerprints_of(texts: list[str]) -> np.ndarray:
     return out
 
 
+def node_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches, most=4 << 20):
         texts = part.column("text").to_pylist()
         known = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-        made = fingerprints_of(list(known))
-        yield pa.record_batch([part.column("doc_id"), pa.array([made[known[t]].tobytes() for t in texts], pa.binary())], names=["doc_id", "wide"])
+        sets = sets_of(list(known))
+        wide, nodes = wide_of(sets), [node_of(x) for x in sets]
+        few = [x.tobytes() if len(x) <= SHORT else b"" for x in sets]
+        at = [known[t] for t in texts]
+        cols = [pa.array([nodes[i] for i in at], pa.int64()), pa.array([wide[i].tobytes() for i in at], pa.binary()), pa.array([few[i] for i in at], pa.binary())]
+        yield pa.record_batch([part.column("doc_id"), *cols], names=["doc_id", "node", "wide", "few"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches, most=4 << 20):
+        sets = sets_of(part.column("text").to_pylist())
+        yield pa.record_batch([part.column("doc_id"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "node", "shingles"])
 
 
 # ---- candidates ----------------------------------------------------------------------
@@ -170,25 +199,120 @@ def _links(bits: int):
     return run
 
 
-def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+def links(nodes: DataFrame, bits: int = REACH) -> DataFrame:
     """(u, v), u > v, of nodes (node long, wide binary)."""
     rows = nodes.select("node", "wide").mapInArrow(_spread, "key int, node long, wide binary")
     met = rows.repartition(common.partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
     return met.mapInArrow(_links(bits), "u long, v long").filter("u <> v").distinct()
 
 
-def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
+# ---- short texts -----------------------------------------------------------------------
+def _first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, node, few = [], [], []
+        for n, x in zip(batch.column("node").to_pylist(), batch.column("few").to_pylist(), strict=True):
+            size = len(x) // 8
+            some = np.frombuffer(x, np.int64)[: size - int(np.ceil(SIMILARITY * size - 1e-9)) + 1] if size else ()
+            key.extend(some)
+            node.extend([n] * len(some))
+            few.extend([x] * len(some))
+        yield pa.record_batch([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(few, pa.binary())], names=["key", "node", "few"])
+
+
+def divided(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first member of each set's class, where links are pairs of ``similarity`` or more.
+
+    Members are found from one another; what is found leaves the search, so sets that are alike cost one pass.
+    """
+    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    terms, at = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, int))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(at, kind="stable")
+    holders, term = owner[order], at[order]
+    start = np.searchsorted(term, np.arange(len(terms) + 1))
+    left, n_left, indexed = np.ones(len(sets), bool), len(sets), len(sets)
+    for r in range(len(sets)):
+        if not left[r]:
+            continue
+        left[r], front = False, [r]
+        n_left -= 1
+        while front and n_left:
+            if 2 * n_left < indexed:  # what has left the search leaves the index too
+                holders, term, indexed = holders[left[holders]], term[left[holders]], n_left
+                start = np.searchsorted(term, np.arange(len(terms) + 1))
+            f = front.pop()
+            mine = at[first[f] : first[f + 1]]
+            # one that is as similar has one of any so many of the shingles: those that the fewest have
+            some = mine[np.argsort(start[mine + 1] - start[mine], kind="stable")[: len(mine) - int(np.ceil(similarity * len(mine) - 1e-9)) + 1]]
+            near = np.unique(np.concatenate([holders[start[t] : start[t + 1]] for t in some])) if len(some) else np.zeros(0, int)
+            near = near[left[near]]
+            near = near[(np.minimum(sizes[near], sizes[f]) >= similarity * np.maximum(sizes[near], sizes[f]) - 1e-9)]
+            if len(near) > 64:
+                counts = np.bincount(np.concatenate([holders[start[t] : start[t + 1]] for t in mine]), minlength=len(sets))[near]
+            else:
+                counts = np.array([len(np.intersect1d(mine, at[first[o] : first[o + 1]], assume_unique=True)) for o in near.tolist()], int)
+            near = near[counts >= similarity * (sizes[f] + sizes[near] - counts) - 1e-9]
+            left[near], root[near] = False, r
+            n_left -= len(near)
+            front.extend(near.tolist())
+    return root
+
+
+def _grouped(key: str, made: str):
+    """For each whole group of rows, sorted by ``key``: links of its nodes by the similarity of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nodes = list(held)
+            if len(nodes) < 2:
+                return
+            root = divided([np.frombuffer(held[n], np.uint64) for n in nodes])
+            rest = np.flatnonzero(root != np.arange(len(root)))
+            if len(rest):
+                nodes = np.array(nodes)
+                yield pa.record_batch([pa.array(nodes[rest]), pa.array(nodes[root[rest]])], names=["u", "v"])
+
+        for batch in batches:
+            for k, n, x in zip(*[batch.column(c).to_pylist() for c in (key, "node", made)], strict=True):
+                if k != now:
+                    yield from flush()
+                    now, held = k, {}
+                held[n] = x
+        yield from flush()
+
+    return run
+
+
+def short_links(nodes: DataFrame) -> DataFrame:
+    """(u, v) that connect all texts of few shingles of ``SIMILARITY`` or more."""
+    rows = nodes.filter("few <> X''").select("node", "few").mapInArrow(_first_shingles, "key long, node long, few binary")
+    met = rows.repartition(common.partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
+    return met.mapInArrow(_grouped("key", "few"), "u long, v long").distinct()
+
+
+# ---- classes -----------------------------------------------------------------------------
+def classes(docs: DataFrame, bits: int = REACH) -> DataFrame:
     """(doc_id, component_id) for every row; the class is named by its smallest id."""
-    folder = common.work_dir(docs.sparkSession, "near")
-    fps = common.saved(common.texts(docs).mapInArrow(_wide, "doc_id long, wide binary").withColumn("node", F.xxhash64("wide")), f"{folder}/fingerprints")
-    nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), f"{folder}/nodes")
-    roots = simhash.components(links(nodes, bits), folder)
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    folder, parts = common.work_dir(docs.sparkSession, "near"), common.partitions(docs.sparkSession)
+    rows = common.texts(docs)
+    fps = common.saved(rows.mapInArrow(_wide, "doc_id long, node long, wide binary, few binary"), f"{folder}/fingerprints")
+    nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("few").alias("few")), f"{folder}/nodes")
+    met = simhash.components(links(nodes, bits).unionByName(short_links(nodes)), f"{folder}/met")
+    # the set of one row of each node, of those that met any
+    members = nodes.select("node", "least").join(met, "node").select(F.col("node").alias("_node"), "least", "root")
+    sets = rows.mapInArrow(_sets, "doc_id long, node long, shingles binary")
+    chosen = sets.join(members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "node", "shingles")
+    kept = chosen.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(_grouped("root", "shingles"), "u long, v long")
+    roots = kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    placed = nodes.select("node", "least").join(common.saved(roots, f"{folder}/roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.select("doc_id", "node").join(placed.join(tops, "root").select("node", "component_id"), "node").drop("node")
 
 
-def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = REACH) -> DataFrame:
     """The rows of ``docs`` whose id names their class: one document of each group."""
     kept = classes(docs, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._kept")), "left_semi")
