@@ -230,3 +230,22 @@ def test_repeated_lines_do_not_decide(spark):
     rows = [(i, f"{words(100)} " + f"{line} " * 8) for i in range(6)] + [(10, f"{body} {line}"), (11, f"{body} " + f"{line} " * 5)]
     got = {r.doc_id: r.component_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _similar_classes(rows) and len(set(got.values())) == 7
+
+
+def test_similarity_decides_at_the_threshold(spark):
+    """Pairs of 0.8 and just above are joined and those just below are not, short texts included."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in [8, 9, 10, 11, 16, 19, 20, 24, 29, 30, 60, 104, 204, 404] * 6:
+        w = words(n)
+        size = n - 4
+        for cut in (size // 5, size // 5 + 1, size // 6):
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: n - cut]))]
+            w = words(n)
+    got = {r.doc_id: r.component_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _similar_classes(rows)
+    assert all(got[i] >= want[i] for i in got)  # nothing below 0.8 is joined
+    short = {i for i, t in rows if len(t.split()) <= near_dups.SHORT + 4}
+    assert all(got[i] == want[i] for i in short if i ^ 1 in short)
+    assert sum(got[i] != want[i] for i in got) <= 0.02 * len(got)
