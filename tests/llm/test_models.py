@@ -168,6 +168,18 @@ def test_extraction():
     assert html_text.extract(plain).endswith("words in it. Yes.")
 
 
+def test_article_inside_named_wrappers():
+    """A wrapper's name or a page-wide form does not lose the article; comments and asides stay out."""
+    text = "This is the article, and it is long enough to be decided by the words that are in it."
+    inner = f"<div class=sidebar><p>Other things that you may like to read on the site</p></div><article><p>{text}</p></article>"
+    inner += "<section class=comments><article><p>I think that this is a very good article and I agree with all of it.</p></article></section>"
+    for wrapper in ('div class="page has-sidebar"', 'div class="layout no-sidebar"', 'div id="content" class="with-comments"', "form id=aspnetForm", "div class='sidebar page'", "div class='comments-enabled'"):
+        assert html_text.extract(f"<body><{wrapper}>{inner}</{wrapper.split()[0]}><footer>the end of it</footer></body>") == text
+    plain = "<div><p>" + "This is one of the longer paragraphs that has the usual words in it. " * 4 + "</p></div>"
+    for other in ("<div class=sidebar><article><p>Another text that is on the site and is of no use to this one at all.</p></article></div>", f"<div class=related><article><p>{text * 9}</p></article></div>"):
+        assert html_text.extract(plain + other) == html_text.extract(plain) != ""
+
+
 def test_extraction_of_tables(spark):
     rows = {r.page_id: r for r in html_text.op3_html_text(spark, SF01).collect()}
     for p in common.table(spark, SF01, "pages").collect():

@@ -2,7 +2,10 @@
 
 A page becomes blocks of text between block-level tags. Containers whose tag,
 role, class or id names them as navigation, header, footer, sidebar, notice,
-advert, form, script, comment and the like are left out. First pass: link
+advert, form, script, comment and the like are left out. Class names that only say
+what a page has or lacks (has-sidebar, no-comments) name nothing. Where all of the
+article would be left out by the name of a wrapper or a form around it, it is read
+nevertheless, unless the wrapper is for comments, related texts or adverts. First pass: link
 density, length and stop-word density make a block good, bad, or, if it is
 short, undecided. Second pass: undecided blocks take the label of the nearest
 decided neighbour; between a good and a bad one as near they are good. Where none
@@ -52,6 +55,13 @@ OUT_NAMES = frozenset(
     comment comments commentlist respond reply replies disqus discussion widget widgets pagination pager copyright
     disclaimer skip toolbar search""".split()
 )
+#: First and last words of class names that tell of a page instead of naming an element.
+ABOUT_FIRST, ABOUT_LAST = frozenset("has no with without".split()), frozenset("enabled disabled layout".split())
+#: Names whose elements hold articles of their own kind, which are never the page's.
+OTHER_ARTICLES = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended
+    recommendations comment comments commentlist respond reply replies disqus discussion""".split()
+)
 OUT_OUTSIDE = frozenset(["header", "top", "bottom", "aside"])
 CONTAINERS = frozenset("article section main div body td th li ul ol table blockquote aside nav footer header form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*+>", re.S)
@@ -61,29 +71,50 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 SPACE = re.compile(r"\s+")
 
 
-def _leaves_out(tag: str, attrs: str, in_article: bool) -> bool:
+#: How an element is left out: not, by a name or as a form, or by what it is.
+KEPT, NAMED, OUT = 0, 1, 2
+
+
+def _names(found: dict[str, str]) -> list[str]:
+    """Words of the class names and the id."""
+    out = []
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if words and words[0] not in ABOUT_FIRST and words[-1] not in ABOUT_LAST:
+            out += words
+    return out
+
+
+def _leaves_out(tag: str, attrs: str, in_article: bool) -> int:
     """Whether an element is something other than text of the article, by what it is called."""
-    if tag in OUT_TAGS or (tag == "header" and not in_article):
-        return True
+    if (tag in OUT_TAGS and tag != "form") or (tag == "header" and not in_article):
+        return OUT
+    form = NAMED if tag == "form" else KEPT
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return form
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in OUT_ROLES:
-        return True
+        return OUT
+    role = found.get("role", "").lower()
+    if role in OUT_ROLES:
+        return NAMED if role == "form" else OUT
     if tag in ("article", "main", "body", "html"):
-        return False
-    names = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
-    return any(n in OUT_NAMES or (not in_article and n in OUT_OUTSIDE) for n in names)
+        return KEPT
+    names = _names(found)
+    if any(n in OTHER_ARTICLES for n in names):
+        return OUT
+    return NAMED if any(n in OUT_NAMES or (not in_article and n in OUT_OUTSIDE) for n in names) else form
+
 
+def blocks_of(page: str, through: bool = False) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters inside links, inside an article, is a heading) of the blocks that are not left out.
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, inside an article, is a heading) of the blocks that are not left out."""
+    ``through``: article and main elements are read inside elements left out by name, too.
+    """
     out, parts, links = [], [], 0
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, left out, in article, open links, in a heading
+    stack: list[tuple[str, int, bool, int, bool]] = []  # tag, left out, in article, open links, in a heading
     opened: Counter[str] = Counter()  # tags of the stack
-    skip, article, link, heading, at = False, False, 0, False, 0
+    skip, article, link, heading, at = KEPT, False, 0, False, 0
 
     def flush() -> None:
         nonlocal parts, links
@@ -97,7 +128,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal skip, article, link, heading
         opened.subtract(t[0] for t in stack[depth:])
         del stack[depth:]
-        skip, article, link, heading = stack[-1][1:] if stack else (False, False, 0, False)
+        skip, article, link, heading = stack[-1][1:] if stack else (KEPT, False, 0, False)
 
     def said(text: str) -> None:
         nonlocal links
@@ -138,7 +169,9 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
                 if stack[i][0] in CONTAINERS:
                     break
-        stack.append((tag, skip or _leaves_out(tag, m[3], article), article or tag in ("article", "main"), link + (tag == "a"), heading or tag in HEADINGS))
+        if through and skip == NAMED and tag in ("article", "main"):
+            skip = KEPT
+        stack.append((tag, skip if skip == OUT else max(skip, _leaves_out(tag, m[3], article)), article or tag in ("article", "main"), link + (tag == "a"), heading or tag in HEADINGS))
         opened[tag] += 1
         skip, article, link, heading = stack[-1][1:]
     said(page[at:])
@@ -170,6 +203,10 @@ def first_pass(text: str, links: int, in_article: bool, has_article: bool, headi
 def extract(page: str) -> str:
     blocks = blocks_of(page)
     has_article = any(b[2] for b in blocks)
+    if not has_article and re.search("<(?:article|main)\\b", page, re.I):
+        inner = blocks_of(page, through=True)
+        if sum(len(t) - n for t, n, a, _ in inner if a) > sum(len(t) - n for t, n, _, _ in blocks):
+            blocks, has_article = inner, True
     labels = [first_pass(t, n, a, has_article, h) for t, n, a, h in blocks]
     # nearest decided neighbour on either side
     before, last = [None] * len(blocks), None
