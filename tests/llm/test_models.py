@@ -149,6 +149,27 @@ def test_mixing_given_targets(spark):
     assert tokens["en"] / tokens["de"] == pytest.approx(3, rel=1e-4) and tokens["fr"] == 0
 
 
+def test_mixing_drawn_marginals(spark):
+    """Expected shares of the sample: on target where no budget forces whole cells, and as marginals() says where one does."""
+    docs = common.table(spark, SF01, "documents")
+    raked = mixing.rake(mixing.cells_of(mixing.described(docs)), common.work_dir(spark, "t"))
+    for budget in (None, mixing.BUDGET):
+        rows = mixing.weighed(docs, budget=budget).collect()
+        said = {(r.dimension, r.category): r for r in mixing.marginals(mixing.calibrated(raked, budget)).collect()}
+        drawn = sum(r.n_tokens * r.probability for r in rows)
+        assert all(0 <= r.probability <= 1 for r in rows)
+        for d in mixing.DIMENSIONS:
+            natural, got = Counter(), Counter()
+            for r in rows:
+                natural[r[d]] += r.n_tokens
+                got[r[d]] += r.n_tokens * r.probability / drawn
+            whole = sum(x**mixing.POWER for x in natural.values())
+            for k, x in natural.items():
+                assert said[d, k].target == pytest.approx(x**mixing.POWER / whole, abs=1e-5)
+                assert said[d, k].achieved == pytest.approx(got[k], abs=1e-5)
+                assert budget or got[k] == pytest.approx(said[d, k].target, abs=1e-5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body>
 <header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site.</div>
 <aside class=side>Other things you may like to read today on the site</aside>

@@ -7,6 +7,11 @@ so that the expected tokens of the sample are ``budget`` of all tokens and, amon
 cells that are not kept whole, are in proportion to the raked weights. The draw
 is a hash of the document id and a seed: the same documents at every run.
 
+A cell that is kept whole falls short of its raked weight, and the mix of the
+sample then is not that of the targets: ``marginals`` gives both. Without a budget
+(None) the sample is the largest for which no cell falls short: all probabilities
+are in proportion to the raked weights and the expected mix is that of the targets.
+
 The targets default to shares tempered by ``power`` (1 keeps the natural mix, 0
 makes all categories equal). The cell table has a row per combination that
 occurs and is raked in one task; everything per document stays distributed.
@@ -85,14 +90,18 @@ def rake(cells: DataFrame, folder: str, targets: dict[str, DataFrame] | None = N
     return c
 
 
-def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
+def calibrated(cells: DataFrame, budget: float | None = BUDGET) -> DataFrame:
     """cells with ``probability`` = min(1, s x weight / share), s such that the expected share of tokens is ``budget``.
 
     Cells by falling ratio: with the first k kept whole, s follows in closed form;
-    the right k is the first whose next cell stays below 1.
+    the right k is the first whose next cell stays below 1. Without ``budget`` s is
+    the largest that keeps all at 1 or below.
     """
     whole, before = Window.partitionBy(), Window.partitionBy().orderBy(F.desc("ratio"), *DIMENSIONS)
     c = cells.coalesce(1).withColumn("ratio", F.col("weight") / F.col("share"))
+    if budget is None:
+        p = F.coalesce(F.try_divide(F.col("ratio"), F.max("ratio").over(whole)), F.lit(1.0))
+        return c.withColumn("probability", p).select(*DIMENSIONS, "share", "weight", "probability")
     kept = F.coalesce(F.sum("share").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(before.rowsBetween(0, Window.unboundedFollowing))
     c = c.withColumn("_s", F.try_divide(F.greatest(F.lit(float(budget)) - kept, F.lit(0.0)), rest)).withColumn("_rank", F.row_number().over(before))
@@ -102,12 +111,20 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return c.withColumn("probability", p).select(*DIMENSIONS, "share", "weight", "probability")
 
 
+def marginals(cells: DataFrame) -> DataFrame:
+    """(dimension, category, natural, target, achieved): shares of tokens of calibrated cells, as raked and as expected of the sample."""
+    each = cells.select("share", "weight", "probability", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in DIMENSIONS])).alias("of"))
+    sums = each.groupBy("of.dimension", "of.category").agg(F.sum("share").alias("natural"), F.sum("weight").alias("target"), F.sum(F.col("share") * F.col("probability")).alias("drawn"))
+    whole = Window.partitionBy("dimension")
+    return sums.withColumn("achieved", F.try_divide("drawn", F.sum("drawn").over(whole))).drop("drawn")
+
+
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """Uniform number in [0, 1) from the id."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
 
 
-def weighed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = POWER, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+def weighed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = POWER, budget: float | None = BUDGET, seed: int = SEED) -> DataFrame:
     """The documents with topic, n_tokens, weight, probability and selected.
 
     ``weight`` is the raked weight of the document's tokens over their natural
