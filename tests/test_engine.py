@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from wardspark import Engine, PackLoader, builtin_packs
 from wardspark.functions import charmap, normalize, stem, tokens
-from wardspark.operators import classify, token_plan
+from wardspark.operators import classify, mask, token_plan
 from wardspark.sources import jsonl
+from wardspark.sources.packs import Pack
+from wardspark.streaming import stream
 
 BN = "কুত্তা"
 CASES = [
@@ -145,6 +147,9 @@ def test_line_protocol(spark):
     assert got[1] == '{"sanitized":"you are a *******"}'
     assert got[2] == '{"error":"unknown command: x"}'
     assert "error" in got[3] and got[4] is None and "error" in got[5]
+    more = ['{"command": "sanitize", "text": "a damn day", "mask": "$"}', '{"command": "sanitize", "text": "a nice day"}']
+    got = [r.response for r in jsonl.answer(spark.createDataFrame([(x,) for x in more], "value string"), Engine("en")).collect()]
+    assert got == ['{"sanitized":"a $$$$ day"}', '{"sanitized":"a nice day"}']
 
 
 def test_moderate(spark):
@@ -155,6 +160,73 @@ def test_moderate(spark):
     assert rows[2].sanitized == "******রা"
 
 
+def test_moderate_masks_by_the_default_threshold(spark):
+    """Toxic at the request's threshold by one reading, masked by the reading that the default threshold picks."""
+    df = spark.createDataFrame([("shit! 4ss", "en", 0.8), ("good", "en", 0.7)], "text string, language string, threshold double")
+    a, b = Engine("en").moderate(df).collect()
+    assert a.is_toxic and a.sanitized == "****! 4ss" == Engine("en").sanitize(df.limit(1)).first().sanitized
+    assert not b.is_toxic and b.sanitized == "good"
+
+
+def test_any_stemmer_goes_through_all_verbs(spark):
+    """A stemmer that is only a function of a column: reported stems that no list holds are masked like others."""
+    pack = Pack("own", "Own", frozenset(["grumble", "a.b"]), stemmer=lambda w: F.substring(w, 1, 4))
+    df = spark.createDataFrame([(t,) for t in ("you grumble today", "Grum, grum! grumblers", "nothing", None)], "text string")
+    rows = Engine(pack).sanitize(Engine(pack).analyze(df)).collect()
+    assert [r.analysis and r.analysis.is_toxic for r in rows] == [True, False, False, None]
+    assert rows[0].analysis.matched_terms == ["grum"] and [r.sanitized for r in rows] == ["you grumble today", "Grum, grum! grumblers", "nothing", None]
+    masked = df.select(mask.mask_terms(F.col("text"), F.array(F.lit("grum"), F.lit("")), "$1")).collect()
+    assert [r[0] for r in masked] == ["you grumble today", "$1$1$1$1, $1$1$1$1! grumblers", "nothing", None]
+
+
+def test_collapse_leaves_line_feeds(spark):
+    cases = {"a\r\r\rb": "a\r\rb", "a\n\n\nb": "a\n\n\nb", "\x85\x85\x85": "\x85\x85", "\u2028" * 4: "\u2028" * 2, "xxxx": "xx"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(normalize.collapse_runs(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_one_pass_equals_the_steps(spark):
+    """Normalisation in one pass over the characters is the same as its steps one after the other."""
+    rng = random.Random(9)
+    alphabet = list("abzAB0134578 @$!+_-.\n\t¥€£​́ ñéÅßİ½ﬁ¥²…＠４＄ａ𝐛😀কড়য়ো") + ["়", "্", "া", "ে", "য়", "ৗ"]
+    df = spark.createDataFrame([("".join(rng.choices(alphabet, k=rng.randint(0, 30))),) for _ in range(1500)], "t string")
+    t = F.col("t")
+    steps = normalize.tidy(normalize.keep_letters(normalize.collapse_runs(normalize.unleet(normalize.fold_unicode(normalize.strip_invisible(t))))))
+    assert df.filter(~steps.eqNullSafe(normalize.normalize(t))).count() == 0
+
+
+def test_patterns_pick_what_word_by_word_matching_finds(spark):
+    """Candidates by pattern against every word, for texts near the lists, and for packs too large for patterns."""
+    rng, en = random.Random(10), builtin_packs()["en"]
+
+    def near(w):
+        k = rng.randrange(len(w) + 1)
+        return rng.choice([w, w[:k] + rng.choice("abeks") + w[k:], w[:k] + w[k + 1 :], w[:k] + rng.choice("abeks") + w[k + 1 :], w + rng.choice(["ing", "ies", "s", "x"]), " ".join(w)])
+
+    texts = [" ".join(rng.choice([near(rng.choice(en.lexicon)), rng.choice(["the", "was so", "of a", "weather", "in it"])]) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    large = Pack("large", "Large", en.bad_words | {f"zzqx{i}zzqx" for i in range(600)}, en.context_rules, en.stemmer)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    a, b = (classify.classify(F.col("t"), p) for p in (en, large))
+    rows = df.select(a.alias("a"), b.alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and {r.a.severity for r in rows} == {0, 2, 3, 4}
+
+
+def test_windowed_stream(spark, tmp_path):
+    """Counts per window and key; rows later than the watermark are dropped, windows close behind it."""
+    rows = [("2024-01-01 00:01:00", "a", "you bastard"), ("2024-01-01 00:02:00", "a", "a nice day"), ("2024-01-01 00:03:00", "b", None), ("2024-01-01 00:07:00", "a", "fuck")]
+    late = [("2024-01-01 01:00:00", "a", "hello"), ("2024-01-01 00:04:00", "a", "bastard")]
+    schema = "at string, room string, text string"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    counts = stream.toxicity_per_window(source.withColumn("at", F.to_timestamp("at")), Engine("en"), "at", ["room"])
+    run = counts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    for some in (rows, late, [("2024-01-01 00:02:30", "a", "shit")], [("2024-01-01 02:00:00", "b", "x")]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        run.start().awaitTermination()
+    got = sorted((str(r.window_start)[11:16], r.room, r.n, r.n_toxic) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("00:00", "a", 3, 2), ("00:00", "b", 1, 0), ("00:05", "a", 1, 1), ("01:00", "a", 1, 0)]
+
+
 def test_severity_bounds(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.4, 0.7, 0.9)], "c double")
     assert [r.s for r in df.select(classify.severity(F.col("c")).alias("s")).collect()] == [0, 1, 2, 3, 4]

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardspark.functions.normalize import bind
 from wardspark.operators import classify, mask
 from wardspark.sources.packs import Pack, builtin_packs
 
@@ -48,9 +49,9 @@ class Engine:
     def is_toxic_column(self, text: Column, threshold: float | Column = classify.THRESHOLD) -> Column:
         return self.analyze_column(text, threshold)["is_toxic"]
 
-    def sanitize_column(self, text: Column, mask_with: str = "*") -> Column:
+    def sanitize_column(self, text: Column, mask_with: str | Column = "*") -> Column:
         """Analyses at the default threshold, whatever other verbs are given."""
-        return classify._bind(self.analyze_column(text), lambda a: mask.sanitize(text, a, self.default, mask_with))
+        return bind(self.analyze_column(text), lambda a: mask.sanitize(text, a, mask_with))
 
     def analyze_by_language_column(
         self, text: Column, language: Column, codes: list[str], threshold: float | Column = classify.THRESHOLD
@@ -63,6 +64,10 @@ class Engine:
         rest = self.analyze_column(text, threshold)
         return rest if out is None else out.otherwise(rest)
 
+    def sanitize_by_language_column(self, text: Column, language: Column, codes: list[str], mask_with: str | Column = "*") -> Column:
+        """Each row analysed at the default threshold and masked by the pack of its language."""
+        return bind(self.analyze_by_language_column(text, language, codes), lambda a: mask.sanitize(text, a, mask_with))
+
     # -- DataFrame verbs -------------------------------------------------------
     def analyze(self, df: DataFrame, text: str = "text", threshold: float | Column = classify.THRESHOLD, to: str = "analysis") -> DataFrame:
         return df.withColumn(to, self.analyze_column(F.col(text), threshold))
@@ -86,13 +91,8 @@ class Engine:
         a = english.analyze_by_language_column(F.col("text"), lang, codes, limit)
         blank = F.col("text").isNull() | (F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", "") == "")
         out = df.withColumn("_a", F.when(~blank, a))
-        masked = F.col("text")
-        for code in codes:
-            # Masking follows the analysis at the default threshold of the same pack.
-            at_default = F.coalesce(F.col("_a.confidence") >= classify.THRESHOLD, F.lit(False))
-            own = mask.mask_terms(F.col("text"), F.col("_a.matched_terms"), self.pack(code), "*")
-            mine = (lang == code) if code != "en" else ~lang.isin(*[c for c in codes if c != "en"])
-            masked = F.when(mine & at_default & F.col("_a.is_toxic"), own).otherwise(masked)
+        # Toxic at the threshold asked for is masked by an analysis of its own, at the default one.
+        masked = F.when(F.col("_a.is_toxic"), english.sanitize_by_language_column(F.col("text"), lang, codes)).otherwise(F.col("text"))
         return out.withColumns(
             {
                 "is_toxic": F.col("_a.is_toxic"),

@@ -15,10 +15,10 @@ import unicodedata
 # Ranges of combining marks that are deleted, and the invisible
 # characters that are deleted before anything else.
 MARK_RANGES = [(0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)]
-INVISIBLE = "​‌‍‎‏⁠﻿­͏⠀᠎"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad\u034f\u2800\u180e"
 
 # Bengali pairs that canonical composition joins.
-BENGALI_PAIRS = [("ো", "ো"), ("ৌ", "ৌ")]
+BENGALI_PAIRS = [("\u09c7\u09be", "\u09cb"), ("\u09c7\u09d7", "\u09cc")]
 
 
 def is_mark(ch: str) -> bool:

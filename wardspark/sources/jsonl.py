@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.engine import Engine
-from wardspark.operators import classify, mask
+from wardspark.functions.normalize import bind
+from wardspark.operators import classify
 
 REQUEST = "command string, text string, language_code string, threshold double, mask string, _bad string"
 
@@ -15,7 +16,7 @@ def answer_column(line: Column, engine: Engine) -> Column:
     """The JSON answer to a request line; blank lines give null, bad ones an error.
 
     Requests are analysed in English unless they name Bengali, at 0.6 unless they
-    say otherwise. A mask other than the default is applied as it is given.
+    say otherwise, and masked with the mask that they give, or stars.
     """
     request = F.from_json(line, REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
 
@@ -31,24 +32,19 @@ def answer_column(line: Column, engine: Engine) -> Column:
             return F.to_json(F.struct(*fields))
 
         def sanitized() -> Column:
-            a = english.analyze_by_language_column(r["text"], code, ["en", "bn"])
-
-            def done(x: Column) -> Column:
-                bn, en = (mask.sanitize(r["text"], x, english.pack(c)) for c in ("bn", "en"))
-                return F.to_json(F.struct(F.when(code == "bn", bn).otherwise(en).alias("sanitized")))
-
-            return classify._bind(a, done)
+            made = english.sanitize_by_language_column(r["text"], code, ["en", "bn"], F.coalesce(r["mask"], F.lit("*")))
+            return F.to_json(F.struct(made.alias("sanitized")))
 
         error = lambda text: F.to_json(F.struct(text.alias("error")))
         return (
             F.when(r.isNull() | r["_bad"].isNotNull(), error(F.lit("malformed request")))
             .when(~command.isin("analyze", "sanitize"), error(F.concat(F.lit("unknown command: "), command)))
             .when(r["text"].isNull(), error(F.lit("'text'")))
-            .when(command == "analyze", classify._bind(analysis, analyzed))
+            .when(command == "analyze", bind(analysis, analyzed))
             .otherwise(sanitized())
         )
 
-    return F.when(F.trim(line) != "", classify._bind(request, respond))
+    return F.when(F.trim(line) != "", bind(request, respond))
 
 
 def answer(df: DataFrame, engine: Engine, line: str = "value", to: str = "response") -> DataFrame:
