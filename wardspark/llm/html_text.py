@@ -2,18 +2,25 @@
 
 A page becomes blocks of text between block-level tags. Containers whose tag,
 role, class or id names them as navigation, header, footer, sidebar, notice,
-advert, form, script, comment and the like are left out. Class names that only say
-what a page has or lacks (has-sidebar, no-comments) name nothing. Where all of the
-article would be left out by the name of a wrapper or a form around it, it is read
-nevertheless, unless the wrapper is for comments, related texts or adverts. First pass: link
-density, length and stop-word density make a block good, bad, or, if it is
-short, undecided. Second pass: undecided blocks take the label of the nearest
+advert, form, script, comment and the like are left out. A compound name counts by
+its last word that says more than place or shape: related-posts and sidebar-left are
+left out, social-history is not; names that say what a page has or lacks
+(has-sidebar, no-comments) name nothing. Where all of the article would be left out
+by the name of a wrapper or a form around it, it is read nevertheless, unless the
+wrapper is for comments, related texts or adverts.
+
+First pass: link density, length, stop-word density and, for languages and scripts
+whose stop words are not listed, the ends of sentences make a block good, bad, or, if
+it is short, undecided. Second pass: undecided blocks take the label of the nearest
 decided neighbour; between a good and a bad one as near they are good. Where none
-is decided, blocks of an article or main element are good and others bad.
+is decided, blocks of an article or main element are good and others bad. An article
+element speaks against what stands outside it, unless it holds a mere teaser and far
+more text outside is good by itself.
 
 Null html is empty and gives an empty text. Broken markup, unclosed elements and
-very long pages are read to the end. Rows that repeat are extracted each. Other
-columns are ignored.
+quotes, and very long pages are read to the end. Rows that repeat are extracted each;
+ties between neighbours are good. Other columns are ignored, an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +43,14 @@ STOP = frozenset(
     le la les de des du un une et est en que qui dans pour par sur pas au avec ce il plus ne se
     el los las y es una del al lo como más pero sus su para con por no si o""".split()
 )
+MORE_STOP = STOP | frozenset(
+    """il di che è e per una sono non con del della nel da come anche questo alla gli delle dei ha ma
+    o os um uma não em na no dos das ao foi são pelo pela mais também
+    het een van en dat op te zijn voor met die niet aan er om ook naar bij door
+    och att det som en på för är av med den till inte ett om har de från
+    i na nie się jest że do z to jak ale przez po od jego
+    и в не на что он с как это по но из к у за от так же для мы они было""".split()
+)
 BLOCKS = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p
@@ -55,6 +70,13 @@ OUT_NAMES = frozenset(
     comment comments commentlist respond reply replies disqus discussion widget widgets pagination pager copyright
     disclaimer skip toolbar search""".split()
 )
+#: Last words of compound names that say where or how something stands, not what it is.
+PLACES = frozenset(
+    """left right top bottom main primary secondary inner outer first last left mobile desktop sticky fixed floating small large
+    site page global local block box container wrapper wrap holder list area section zone slot unit panel strip row col column group
+    grid card cards tile item items content body text title heading header label links link bar buttons button icons icon image
+    message posts post articles stories topics news feed thread form field input module info now here on off js""".split()
+)
 #: First and last words of class names that tell of a page instead of naming an element.
 ABOUT_FIRST, ABOUT_LAST = frozenset("has no with without".split()), frozenset("enabled disabled layout".split())
 #: Names whose elements hold articles of their own kind, which are never the page's.
@@ -64,9 +86,17 @@ OTHER_ARTICLES = frozenset(
 )
 OUT_OUTSIDE = frozenset(["header", "top", "bottom", "aside"])
 CONTAINERS = frozenset("article section main div body td th li ul ol table blockquote aside nav footer header form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*+>", re.S)
+#: A quote opens a value only after an equals sign, and only if it is closed anywhere.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?/][^<>]*+>", re.S)
+#: A slash that closes the element itself, not the end of a value without quotes.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+SENTENCE_END = re.compile(r"[.!?…](?=[\s\"'”»)\]]|$)|[。！？؟।።]")
+LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+LETTER = re.compile(r"[^\W\d_]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MIN_CHARS, STOP_LOW, STOP_HIGH, LONG_CHARS, LINKS_HIGH = 70, 0.15, 0.25, 200, 0.4
+#: An article element of less text than this may be a teaser; good text outside must be so many times its text.
+TEASER, OUTSIDE = 300, 2
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 SPACE = re.compile(r"\s+")
 
@@ -76,15 +106,21 @@ KEPT, NAMED, OUT = 0, 1, 2
 
 
 def _names(found: dict[str, str]) -> list[str]:
-    """Words of the class names and the id."""
+    """What the class names and the id say an element is: a word of each."""
     out = []
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
         if words and words[0] not in ABOUT_FIRST and words[-1] not in ABOUT_LAST:
-            out += words
+            while len(words) > 1 and words[-1] in PLACES:
+                words.pop()
+            out.append(words[-1])
     return out
 
 
+def _is_article(tag: str, attrs: str) -> bool:
+    return tag in ("article", "main") or ("=" in attrs and re.search(r"(?i)\brole\s*=\s*[\"']?(?:main|article)\b|articleBody", attrs) is not None)
+
+
 def _leaves_out(tag: str, attrs: str, in_article: bool) -> int:
     """Whether an element is something other than text of the article, by what it is called."""
     if (tag in OUT_TAGS and tag != "form") or (tag == "header" and not in_article):
@@ -106,10 +142,11 @@ def _leaves_out(tag: str, attrs: str, in_article: bool) -> int:
     return NAMED if any(n in OUT_NAMES or (not in_article and n in OUT_OUTSIDE) for n in names) else form
 
 
-def blocks_of(page: str, through: bool = False) -> list[tuple[str, int, bool, bool]]:
+def blocks_of(page: str, through: bool = False, names: bool = True) -> list[tuple[str, int, bool, bool]]:
     """(text, characters inside links, inside an article, is a heading) of the blocks that are not left out.
 
     ``through``: article and main elements are read inside elements left out by name, too.
+    ``names``: without it no element is left out by its name or as a form.
     """
     out, parts, links = [], [], 0
     stack: list[tuple[str, int, bool, int, bool]] = []  # tag, left out, in article, open links, in a heading
@@ -154,13 +191,13 @@ def blocks_of(page: str, through: bool = False) -> list[tuple[str, int, bool, bo
                     break  # an inline end tag does not close a container
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else len(page)
             at = stop
             end_tag = TOKEN.match(page, stop)
             at = end_tag.end() if end_tag else len(page)
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or SELF_CLOSED.search(m[3]):
             continue
         if tag in BLOCKS and opened["p"] > 0:  # a block element ends an open paragraph
             for i in range(len(stack) - 1, -1, -1):
@@ -169,9 +206,13 @@ def blocks_of(page: str, through: bool = False) -> list[tuple[str, int, bool, bo
                     break
                 if stack[i][0] in CONTAINERS:
                     break
-        if through and skip == NAMED and tag in ("article", "main"):
+        is_article = _is_article(tag, m[3])
+        if through and skip == NAMED and is_article:
             skip = KEPT
-        stack.append((tag, skip if skip == OUT else max(skip, _leaves_out(tag, m[3], article)), article or tag in ("article", "main"), link + (tag == "a"), heading or tag in HEADINGS))
+        out_by = _leaves_out(tag, m[3], article)
+        if not names and out_by == NAMED:
+            out_by = KEPT
+        stack.append((tag, max(skip, out_by), article or is_article, link + (tag == "a"), heading or tag in HEADINGS))
         opened[tag] += 1
         skip, article, link, heading = stack[-1][1:]
     said(page[at:])
@@ -179,6 +220,17 @@ def blocks_of(page: str, through: bool = False) -> list[tuple[str, int, bool, bo
     return out
 
 
+def _is_prose(text: str) -> bool:
+    """Whether a text has an end of a sentence in every 300 characters or less, on the whole."""
+    return 300 * sum(1 for _ in SENTENCE_END.finditer(text)) >= len(text)
+
+
+def _is_foreign(text: str) -> bool:
+    """Whether most letters are of a script that has no stop words here; a few tell."""
+    letters = LETTER.findall(text[:2000])
+    return 2 * len(LATIN.findall("".join(letters))) < len(letters)
+
+
 def first_pass(text: str, links: int, in_article: bool, has_article: bool, heading: bool) -> bool | None:
     """True for good, False for bad, None for undecided."""
     if links > LINKS_HIGH * len(text):
@@ -189,24 +241,41 @@ def first_pass(text: str, links: int, in_article: bool, has_article: bool, headi
         return False
     if heading:
         return True if in_article else None
+    if _is_foreign(text):  # a character may be a word: a third of the length says as much
+        if len(text) < MIN_CHARS // 3:
+            return None
+        return True if _is_prose(text) or (in_article and len(text) >= LONG_CHARS // 3) else None
     if len(text) < MIN_CHARS:
         return None
     words = [w.strip(".,;:!?\"'()#$%&*") for w in text.lower().split()]
-    density = sum(w in STOP for w in words) / len(words)
+    density = sum(w in MORE_STOP for w in words) / len(words)
     if density >= STOP_HIGH or (in_article and (density >= STOP_LOW or len(text) >= LONG_CHARS)):
         return True
     if density >= STOP_LOW:
         return True if len(text) >= LONG_CHARS else None
-    return None if in_article else False
+    if in_article:
+        return None
+    return True if len(text) >= LONG_CHARS and _is_prose(text) else False
 
 
 def extract(page: str) -> str:
     blocks = blocks_of(page)
-    has_article = any(b[2] for b in blocks)
-    if not has_article and re.search("<(?:article|main)\\b", page, re.I):
+    if not any(b[2] for b in blocks) and re.search("<(?:article|main)\\b|articleBody|role\\s*=", page, re.I):
         inner = blocks_of(page, through=True)
         if sum(len(t) - n for t, n, a, _ in inner if a) > sum(len(t) - n for t, n, _, _ in blocks):
-            blocks, has_article = inner, True
+            blocks = inner
+    # a page whose every text stands inside something named otherwise, or a form, is read all the same
+    return chosen(blocks) or chosen(blocks_of(page, names=False))
+
+
+def chosen(blocks: list[tuple[str, int, bool, bool]]) -> str:
+    """The text of the blocks that both passes find good."""
+    inside = sum(len(t) - n for t, n, a, _ in blocks if a)
+    if 0 < inside < TEASER:
+        outside = sum(len(t) for t, n, a, h in blocks if not a and not h and first_pass(t, n, False, False, h))
+        if outside > OUTSIDE * inside:
+            blocks = [(t, n, False, h) for t, n, _, h in blocks]
+    has_article = any(b[2] for b in blocks)
     labels = [first_pass(t, n, a, has_article, h) for t, n, a, h in blocks]
     # nearest decided neighbour on either side
     before, last = [None] * len(blocks), None
