@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from compare import compare, duck
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,6 +80,35 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0), f"{tmp_path}/none"), f"{tmp_path}/none").count() == 0
 
 
+def test_readers_refuse_other_files(spark, tmp_path):
+    """A file that is not the one of the manifest is an error, not other rows."""
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    for made, read, pattern in (
+        (warc.write(pages, f"{tmp_path}/w"), lambda m: warc.read(m, f"{tmp_path}/w"), "w/*.gz"),
+        (token_codes.write(docs, f"{tmp_path}/t", token_codes.vocabulary()), lambda m: token_codes.read(m, f"{tmp_path}/t"), "t/*.dac"),
+    ):
+        assert read(made).count() == 1
+        (file,) = tmp_path.glob(pattern)
+        file.write_bytes(file.read_bytes() + b"x")
+        with pytest.raises(Exception, match="not the file of the manifest"):
+            read(made).collect()
+
+
+def test_warc_equals_sql(spark):
+    got, want = compare(spark, duck(SF), SF, warc.op7_warc, warc.SQL)
+    assert got == want
+
+
+def test_warc_one_payload_of_most_pages(spark, tmp_path):
+    """The hot payload's pages are joined by broadcast; the result is the same."""
+    rows = [(i, f"u{i}", "<p>error</p>" if i % 3 else f"<p>{i}</p>") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.read(warc.write(df, f"{tmp_path}/hot"), f"{tmp_path}/hot").collect()
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out]
+    assert sorted(got) == sorted(_warc_want(rows, 0))
+
+
 def test_warc_whole_table(spark):
     rows = [tuple(r) for r in common.table(spark, SF, "pages").select("page_id", "url", "html").collect()]
     assert sorted(map(tuple, warc.op7_warc(spark, SF).collect())) == sorted(_warc_want(rows, 0))

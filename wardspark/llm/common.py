@@ -1,8 +1,9 @@
 """What the operators share: the shared folder, written tables, words, batches.
 
 Work tables and files go below ``spark.checkpoint.dir``, the folder that all
-executors and the driver see. Only where a session names none (tests) a local
-one is set. Nothing is kept in an executor's own folders.
+executors and the driver see. A session that names none gets a temporary one if all
+its tasks run on this machine (tests), and an error otherwise. Nothing is kept in an
+executor's own folders.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    sc.environment.setdefault("PYTHONPATH", ROOT)  # workers started later can import this package
+    here = sc.master.startswith("local")
+    if here:
+        sc.environment.setdefault("PYTHONPATH", ROOT)  # workers started later can import this package
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not here:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="wardspark-")
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -46,6 +51,19 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, table: DataFrame, key: str, rows: int) -> DataFrame:
+    """left joined on ``key`` to a table of one row a key, whose column ``n`` says how many of the ``rows`` rows of left have it.
+
+    Keys of more rows than an eighth of a task's share, at most 8 a task, are
+    broadcast, so that their rows stay where they are; all others meet by a shuffle.
+    Rows of left without a partner, null keys among them, are dropped.
+    """
+    hot = table.filter(F.col("n") > max(1, rows // (8 * partitions(left.sparkSession))))
+    rest = table.join(F.broadcast(hot.select(key)), key, "left_anti").drop("n")
+    cool = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(hot.drop("n")), key).unionByName(cool)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

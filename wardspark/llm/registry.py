@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL}

@@ -10,8 +10,10 @@ document ids (with a null flag each), the end offset of every document, and per
 level: length, chunks, bitmap, rank directory.
 
 Documents are range-sorted by id and written in ascending order, equal ids by
-text. Null text is empty, null ids come first. Texts are encoded whole; every
-document ends with the end id. An empty table gives no file.
+text. Null text is empty, null ids come first, repeated rows are written each. Texts
+are encoded whole, however long; every document ends with the end id. Other columns
+are ignored, whatever their names. An empty table gives no file. Readers go by the
+manifest and refuse a file that is not the one it lists.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardspark.llm import common
@@ -228,8 +230,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, li
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                doc_ids, ends, codes = open_segment(common.read_file(folder, name))
+            for name, base, sha in zip(*[batch.column(c).to_pylist() for c in ("name", "base", "sha256")], strict=True):
+                data = common.read_file(folder, name)
+                if hashlib.sha256(data).hexdigest() != sha:
+                    raise ValueError(f"{name} is not the file of the manifest")
+                doc_ids, ends, codes = open_segment(data)
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(codes.slice(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())]
@@ -241,15 +246,16 @@ def _reader(folder: str):
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    The driver adds up the tokens of the files before each file: one number a file.
+    The tokens before a file: those of the parts before, added up over one row a
+    part (a writing task), and those of the files of its part before it.
     """
     spark = manifest.sparkSession
-    rows, base, placed = manifest.select("part", "segment", "name", "tokens").orderBy("part", "segment").collect(), 0, []
-    for r in rows:
-        placed.append((r.name, base))
-        base += r.tokens
-    files = spark.createDataFrame(placed, "name string, base long")
-    return files.repartition(max(1, min(common.partitions(spark), len(placed))), "name").mapInArrow(_reader(folder), RESULT)
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("all"))
+    before = F.sum("all").over(Window.orderBy("part")) - F.col("all")
+    own = F.sum("tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("tokens")
+    files = manifest.withColumn("own", own).join(F.broadcast(parts.select("part", before.alias("base"))), "part")
+    files = files.select("name", (F.col("base") + F.col("own")).alias("base"), "sha256")
+    return files.repartition(common.partitions(spark), "name").mapInArrow(_reader(folder), RESULT)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -262,5 +268,3 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.work_dir(spark, "tokens")
     return read(write(common.table(spark, sf_dir, "documents"), folder, vocabulary()), folder)
 
-
-SQL = None
