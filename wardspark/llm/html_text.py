@@ -117,8 +117,11 @@ def _names(found: dict[str, str]) -> list[str]:
     return out
 
 
+ARTICLE = re.compile(r"(?i)\brole\s*=\s*[\"']?(?:main|article)\b|articleBody")
+
+
 def _is_article(tag: str, attrs: str) -> bool:
-    return tag in ("article", "main") or ("=" in attrs and re.search(r"(?i)\brole\s*=\s*[\"']?(?:main|article)\b|articleBody", attrs) is not None)
+    return tag in ("article", "main") or ("=" in attrs and ARTICLE.search(attrs) is not None)
 
 
 def _leaves_out(tag: str, attrs: str, in_article: bool) -> int:
@@ -227,7 +230,10 @@ def _is_prose(text: str) -> bool:
 
 def _is_foreign(text: str) -> bool:
     """Whether most letters are of a script that has no stop words here; a few tell."""
-    letters = LETTER.findall(text[:2000])
+    few = text[:2000]
+    if 5 * len(few.encode("ascii", "ignore")) > 4 * len(few):
+        return False
+    letters = LETTER.findall(few)
     return 2 * len(LATIN.findall("".join(letters))) < len(letters)
 
 
