@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from compare import compare, duck
 
 from wardspark.llm import common, decontam, lex, near_dups, simhash
 
@@ -53,6 +54,22 @@ def test_simhash(spark, odd_docs, no_docs):
     assert simhash.keep_one(odd_docs).columns == odd_docs.columns
 
 
+def test_simhash_equals_sql(spark):
+    got, want = compare(spark, duck(SF), SF, simhash.op8_simhash, simhash.SQL)
+    assert got == want
+
+
+def test_copies_and_hubs(spark):
+    """A text that a third of all rows share and a class of many fingerprints around one are joined by broadcast; nothing else changes."""
+    rows = [(i, "one text that many rows have") for i in range(0, 900, 3)] + [(i, f"text number {i} of its own words w{i}") for i in range(900) if i % 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in simhash.classes(docs).collect()), key=repr)
+    assert got == _want(rows)
+    star = spark.createDataFrame([(k, 0) for k in range(1, 500)] + [(k + 1000, k) for k in range(1, 500, 7)] + [(5000, 4999)], "u long, v long")
+    found = {r.node: r.root for r in simhash.components(star, common.work_dir(spark, "t")).collect()}
+    assert found == {**dict.fromkeys(range(500), 0), **dict.fromkeys(range(1001, 1500, 7), 0), 4999: 4999, 5000: 4999}
+
+
 def test_keys_meet_within_four_bits():
     rng = random.Random(1)
     for _ in range(1500):
@@ -165,45 +182,41 @@ def test_lcs():
 
 
 def test_wide_classes(spark, odd_docs, no_docs):
-    """Classes of similarity 0.8: against all pairs of fingerprints, and of shingle sets well on either side."""
-    rows = common.table(spark, SF01, "documents").select("doc_id", "text").collect()
-    wide = near_dups.fingerprints_of([r.text for r in rows])
-    ids, parent = [r.doc_id for r in rows], list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k in range(len(rows)):
-        for q in np.flatnonzero(np.bitwise_count(wide[k][None] ^ wide[:k]).sum(1, dtype=int) <= near_dups.BITS):
-            a, b = find(k), find(int(q))
-            parent[max(a, b)] = min(a, b)
-    want = {ids[k]: ids[find(k)] for k in range(len(rows))}
+    """Classes of similarity 0.8 on a whole table: exactly those of all pairs of shingle sets."""
+    rows = [(r.doc_id, r.text) for r in common.table(spark, SF01, "documents").collect()]
     got = {r.doc_id: r.component_id for r in near_dups.classes(common.table(spark, SF01, "documents")).collect()}
-    agreed = sum(got[i] == want[i] for i in ids)
-    assert agreed >= 0.995 * len(ids) and all(got[i] >= want[i] for i in ids)  # nothing is joined that should not be
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (common.words_of(r.text) for r in rows)]
-    for k in range(0, len(rows), 7):
-        for q in range(k):
-            share = len(sets[k] & sets[q]) / len(sets[k] | sets[q])
-            if share >= 0.85:
-                assert got[ids[k]] == got[ids[q]]
+    assert got == _similar_classes(rows) and len(set(got.values())) < len(got)
     odd = near_dups.classes(odd_docs)
     assert odd.count() == odd_docs.count() and near_dups.classes(no_docs).count() == 0
     assert {r.component_id for r in odd.filter("doc_id in (0, 1, 2)").collect()} == {0}
 
 
+def test_candidates_reach_the_threshold():
+    """Of pairs at 0.8 and just above, at least 0.98 share an index and are within reach, whatever their length and shape."""
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (25, 40, 100, 400, 1500):
+        for share in (0.8, 0.825, 0.85):
+            own = int(n * (1 - share) / (1 + share) + 1e-9)
+            pairs = []
+            for _ in range(100):
+                a, common_part = new(n), new(n - own)
+                pairs += [(a, a[: int(np.ceil(share * n - 1e-9))]), (np.concatenate([common_part, new(own)]), np.concatenate([common_part, new(own)]))]
+            a, b = near_dups.wide_of([x for x, _ in pairs]), near_dups.wide_of([y for _, y in pairs])
+            met = (near_dups.indices_of(a) == near_dups.indices_of(b)).any(1) & (np.bitwise_count(a ^ b).sum(1, dtype=int) <= near_dups.REACH)
+            assert met.mean() >= 0.98
+
+
 def test_wide_forest_and_pairs_agree():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (3, 8)).astype(np.uint64)
     noise = np.packbits(rng.random((600, 512)) < 0.06, axis=1, bitorder="little").view(np.uint64).reshape(-1, 8)
     wide = base[rng.integers(0, 3, 600)] ^ noise
-    links = [p for a, b in near_dups.forest(wide, near_dups.BITS) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    links = [p for a, b in near_dups.forest(wide, 86) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(links) == 597
     small = wide[:200]
-    pairs = {p for a, b in near_dups.pairs_within(np.zeros(200, np.int32), small, near_dups.BITS) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {(a, b) for b in range(200) for a in range(b) if np.bitwise_count(small[a] ^ small[b]).sum(dtype=int) <= near_dups.BITS}
+    pairs = {p for a, b in near_dups.pairs_within(np.zeros(200, np.int32), small, 86) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(a, b) for b in range(200) for a in range(b) if np.bitwise_count(small[a] ^ small[b]).sum(dtype=int) <= 86}
     assert pairs == want
 
 
@@ -212,7 +225,9 @@ def _similar_classes(rows):
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (common.words_of(t) for _, t in rows)]
     least = {i: i for i, _ in rows}
     changed = True
-    pairs = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    sizes = [len(x) for x in sets]
+    close = lambda a, b: 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])
+    pairs = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if close(a, b) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in pairs:

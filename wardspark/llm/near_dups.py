@@ -3,9 +3,9 @@
 The similarity is that of Jaccard over the sets of five-word shingles, repeats
 not counted; a text of fewer words is one shingle. The 64 bits and 4 errors of the
 narrow fingerprint reach only texts that are almost equal. Here a text has 512
-bits over its set. Texts with a similarity of 0.8 differ in about 77 bits
-(``BITS``, 86, is a standard deviation more), unrelated ones in about 256. Texts
-within ``REACH`` are candidates.
+bits over its set. Texts with a similarity of 0.8 differ in about 77 bits, with a
+standard deviation of 8, unrelated ones in about 256. Texts within ``REACH`` are
+candidates.
 
 Search: 44 segments of 23 bits, 22 of the bits in order and 22 of them shuffled,
 are decoded to the nearest codeword of the perfect Golay code. Its 12-bit index
@@ -21,8 +21,9 @@ divided again by the similarity of the sets: only links of ``SIMILARITY`` or mor
 make classes.
 
 Texts of equal sets are one node, so copies cost nothing. Null text is empty;
-texts without words are all alike. Repeated rows stay repeated; see ``simhash``
-for ids and other columns.
+texts without words are all alike. Very long texts are taken whole. Repeated rows
+stay repeated, and a similarity of just 0.8 links; null ids, other columns and empty
+tables are as in ``simhash``.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from wardspark.llm import common, simhash
 
-SHINGLE, LANES, BITS, SEED, LARGE = 5, 8, 86, 42, 256
+SHINGLE, LANES, SEED, LARGE = 5, 8, 42, 256
 SIMILARITY, REACH, SHORT = 0.8, 110, 24
 #: Bits of the segments, 23 each: all in order, then shuffled.
 ORDER = np.concatenate([np.arange(22 * 23), np.random.default_rng(7).permutation(512)[: 22 * 23]])
@@ -299,17 +300,15 @@ def classes(docs: DataFrame, bits: int = REACH) -> DataFrame:
     folder, parts = common.work_dir(docs.sparkSession, "near"), common.partitions(docs.sparkSession)
     rows = common.texts(docs)
     fps = common.saved(rows.mapInArrow(_wide, "doc_id long, node long, wide binary, few binary"), f"{folder}/fingerprints")
-    nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("few").alias("few")), f"{folder}/nodes")
+    nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("few").alias("few"), F.count(F.lit(1)).alias("n")), f"{folder}/nodes")
     met = simhash.components(links(nodes, bits).unionByName(short_links(nodes)), f"{folder}/met")
     # the set of one row of each node, of those that met any
     members = nodes.select("node", "least").join(met, "node").select(F.col("node").alias("_node"), "least", "root")
     sets = rows.mapInArrow(_sets, "doc_id long, node long, shingles binary")
     chosen = sets.join(members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "node", "shingles")
     kept = chosen.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(_grouped("root", "shingles"), "u long, v long")
-    roots = kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed = nodes.select("node", "least").join(common.saved(roots, f"{folder}/roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "node").join(placed.join(tops, "root").select("node", "component_id"), "node").drop("node")
+    roots = common.saved(kept.select(F.col("u").alias("node"), F.col("v").alias("root")), f"{folder}/roots")
+    return simhash.named(fps.select("doc_id", "node"), nodes.select("node", "least", "n"), roots, "node", folder).drop("node")
 
 
 def keep_one(docs: DataFrame, bits: int = REACH) -> DataFrame:

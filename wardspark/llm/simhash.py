@@ -16,10 +16,12 @@ forest: no pair lists, no cap. Groups are of distinct fingerprints; copies of a
 text share one.
 
 Links become classes by alternating large-star and small-star steps over
-written tables.
+written tables. The hub of a large class and the fingerprint of a large group of
+copies are joined by broadcast, at most 8 a task, and so are not dealt to one.
 
-Null text is empty. Repeated rows stay repeated. Null ids never name a class
-unless it has no other. Other columns are ignored.
+Null text is empty; very long texts are hashed whole. Repeated rows stay repeated;
+ties (equal counts of a bit) leave it unset. Null ids never name a class unless it has
+no other. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -278,6 +280,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
     Large-star and small-star in turn, each over written tables, until nothing
     changes; the number of rounds grows with the logarithm of the longest path.
+    The links of a hub are not dealt to one task (``common.joined``).
     """
 
     def mark(e: DataFrame):
@@ -287,12 +290,13 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     seen, n = mark(e), 0
     while seen.n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         upward = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         n += 1
+        large = common.joined(upward, least, "u", seen.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.saved(large, f"{folder}/large-{n}")
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = common.joined(large, lows, "u", seen.n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = common.saved(small.unionByName(lows.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/edges-{n}")
         now = mark(e)
         if now == seen:
@@ -302,17 +306,26 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, key: str, folder: str) -> DataFrame:
+    """The rows with component_id, the smallest id of the class of their node.
+
+    ``nodes`` has key, least and n (how many of the rows) for every node, ``roots``
+    (node, root) for those that are linked.
+    """
+    placed = nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    placed = common.saved(placed.withColumnRenamed("n", "rows"), f"{folder}/placed")
+    tops = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    said = common.joined(placed, tops, "root", placed.count()).select(key, "component_id", F.col("rows").alias("n"))
+    return common.joined(rows, common.saved(said, f"{folder}/named"), key, rows.count())
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     spark = docs.sparkSession
     folder = common.work_dir(spark, "simhash")
     fps = common.saved(fingerprints(docs, size), f"{folder}/fingerprints")
-    nodes = common.saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/nodes")
-    roots = components(links(nodes, bits), folder)
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tops = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(tops, "root").select("fp", "component_id")
-    return fps.join(named, "fp")
+    nodes = common.saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), f"{folder}/nodes")
+    return named(fps, nodes, components(links(nodes, bits), folder), "fp", folder)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -324,3 +337,65 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFram
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- SQL ---------------------------------------------------------------------------------
+# The primes of XXH64.
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def _sql() -> str:
+    """The whole result in DuckDB SQL: XXH64 of every distinct shingle in 128-bit arithmetic, all pairs of fingerprints, and their closure."""
+    num = lambda x: f"{x % (1 << 64)}::UHUGEINT"
+    cut = lambda x: f"(({x}) & {num(-1)})"
+    times = lambda x, p: cut(f"{x} * {num(p)}")
+    turned = lambda x, r: cut(f"(({x}) << {r}) | (({x}) >> {64 - r})")
+    #: Bytes o .. o + n as a little-endian number; r has the bytes of the shingle from the last to the first.
+    lane = lambda o, n: f"('0x' || substring(r, 2 * (l - ({o}) - {n}) + 1, {2 * n}))::UBIGINT::UHUGEINT"
+    stripe = lambda k, seed: turned(cut(f"{seed} + " + times(lane(f"o + {8 * k}", 8), P2)), 31) + f" * {num(P1)}"
+    mixed_in = lambda h, v: f"xor({h}, " + times(turned(times(v, P2), 31), P1) + ")"
+    starts = [SEED + P1 + P2, SEED + P2, SEED, SEED - P1]
+    steps, h, source = [], "h", "begun"
+
+    def step(name: str, made: str, when: str, moved: int) -> None:
+        nonlocal source
+        steps.append(f"{name} AS MATERIALIZED (SELECT g, r, l, CASE WHEN {when} THEN {made} ELSE h END AS h, o + CASE WHEN {when} THEN {moved} ELSE 0 END AS o FROM {source})")
+        source = name
+
+    merged = "+".join(turned(f"v{k + 1}", r) for k, r in enumerate((1, 7, 12, 18)))
+    merges = []
+    for k in range(4):
+        merges.append(f"m{k} AS MATERIALIZED (SELECT * EXCLUDE (h), {cut(times(mixed_in('h', f'v{k + 1}'), P1) + ' + ' + num(P4))} AS h FROM {f'm{k - 1}' if k else 'summed'})")
+    for k in range(3):
+        step(f"eight{k}", cut(times(turned(f"xor({h}, " + times(turned(times(lane("o", 8), P2), 31), P1) + ")", 27), P1) + f" + {num(P4)}"), "o + 8 <= l", 8)
+    step("four", cut(times(turned(f"xor({h}, " + times(lane("o", 4), P1) + ")", 23), P2) + f" + {num(P3)}"), "o + 4 <= l", 4)
+    for k in range(3):
+        step(f"one{k}", times(turned(f"xor({h}, " + times(lane("o", 1), P5) + ")", 11), P1), "o < l", 1)
+    falls = [("f1", f"xor(h, h >> 33)"), ("f2", times("h", P2)), ("f3", "xor(h, h >> 29)"), ("f4", times("h", P3)), ("f5", "xor(h, h >> 32)")]
+    for name, made in falls:
+        steps.append(f"{name} AS (SELECT g, {made} AS h FROM {source})")
+        source = name
+    bits = ", ".join(f"sum(n * ((h >> {b}) & 1::UBIGINT)::BIGINT) AS b{b}" for b in range(64))
+    total = " + ".join(f"CASE WHEN 2 * b{b} > shingles THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+    return f"""
+WITH RECURSIVE lists AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: {" || ' ' || ".join(f"w[i + {k}]" for k in range(SHINGLE))}) END) AS g FROM lists) GROUP BY ALL),
+bytes AS MATERIALIZED (SELECT g, reverse(regexp_replace(hex(encode(g)), '(.)(.)', '\\2\\1', 'g')) AS r, octet_length(encode(g)) AS l FROM (SELECT DISTINCT g FROM grams)),
+stripes AS (SELECT g, r, l, 0 AS o, {", ".join(f"{num(s)} AS v{k + 1}" for k, s in enumerate(starts))} FROM bytes WHERE l >= 32
+  UNION ALL SELECT g, r, l, o + 32, {", ".join(cut(stripe(k, f"v{k + 1}")) for k in range(4))} FROM stripes WHERE o + 32 <= l),
+summed AS MATERIALIZED (SELECT *, {cut(merged)} AS h FROM stripes WHERE o + 32 > l),
+{", ".join(merges)},
+begun AS MATERIALIZED (SELECT g, r, l, {cut("h + l::UHUGEINT")} AS h, o FROM m3 UNION ALL SELECT g, r, l, {cut(num(SEED + P5) + " + l::UHUGEINT")}, 0 FROM bytes WHERE l < 32),
+{", ".join(steps)},
+hashed AS MATERIALIZED (SELECT g, h::UBIGINT AS h FROM {source}),
+counted AS MATERIALIZED (SELECT doc_id, sum(n) AS shingles, {bits} FROM grams JOIN hashed USING (g) GROUP BY doc_id),
+prints AS MATERIALIZED (SELECT doc_id, coalesce({total}, 0::UBIGINT) AS fp FROM documents LEFT JOIN counted USING (doc_id)),
+nodes AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp),
+links AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON bit_count(xor(a.fp, b.fp)::HUGEINT) <= {BITS}),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS fp, min(least) AS component_id FROM reach JOIN nodes ON b = fp GROUP BY a)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN named USING (fp)"""
+
+
+SQL = _sql()
