@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import random
 import re
 import time
 from collections import Counter, defaultdict
@@ -18,43 +19,58 @@ from wardspark.llm import common, decontam, html_text, katz, mixing, near_dups,
 SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def plain_katz(rows):
-    """Scores by dictionaries: (doc_id, held, n_tokens, n_known, N, base, score), and the distributions' sums."""
+def good_turing(counts):
+    """Factors for counts 1..k by the formula, for the largest k up to 5 that gives factors between 0 and 1; else a half for ones."""
+    n = Counter(counts)
+    for k in (5, 4, 3, 2, 1):
+        if all(n[r] for r in range(1, k + 2)):
+            cut = (k + 1) * n[k + 1] / n[1]
+            factor = {r: ((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) if cut < 1 else 0 for r in range(1, k + 1)}
+            if all(0 < x < 1 for x in factor.values()):
+                return factor
+    return {1: 0.5}
+
+
+def plain_katz(rows, order=3):
+    """Scores by dictionaries and recursion: (doc_id, held, n_tokens, n_known, N, base, score), and the distributions' sums."""
     docs = [(i, common.crc_of(i) % 7 == 2, [*common.words_of(t or ""), None]) for i, t in rows]
-    uni, pairs, after = Counter(), Counter(), defaultdict(dict)
+    after = defaultdict(Counter)  # by history, of no, one or two words
     for _, held, w in docs:
         if not held:
-            uni.update(w)
-            pairs.update(zip([None, *w], w))
-    for (p, q), n in pairs.items():
-        after[p][q] = n
+            for h2, h1, x in zip([None, None, *w], [None, *w], w):
+                for h in ((), (h1,), (h2, h1)):
+                    after[h][x] += 1
+    uni = after[()]
     big, v = sum(uni.values()), len(uni)
-    d1, d2 = (katz.discounts(Counter(c.values())) for c in (uni, pairs))
-    cut = lambda n, d: n * (d[n] if n < len(d) else 1.0)
-    used = sum(cut(n, d1) for n in uni.values())
-    total1 = big if used < big - 1e-9 else big + 1
-    p1 = lambda w: cut(uni[w], d1) / total1 if w in uni else 1 - used / total1
+    factors = [good_turing([n for h, words in after.items() if len(h) == k for n in words.values()]) for k in range(3)]
+    cut = lambda n, k: n * factors[k].get(n, 1.0)
     known = {}
 
-    def context(h):
+    def history(h):
+        """(divisor, alpha)"""
         if h not in known:
             n = sum(after[h].values())
-            freed = n - sum(cut(x, d2) for x in after[h].values())
-            total = n if freed > 1e-9 else n + 1
-            known[h] = (total, (freed if freed > 1e-9 else 1) / total / (1 - sum(p1(w) for w in after[h])))
+            freed = n - sum(cut(x, len(h)) for x in after[h].values())
+            total, left = (n, freed) if freed > 1e-9 else (n + 1, 1)
+            known[h] = total, left / total / (1 - sum(p(h[1:], w) for w in after[h]) if h else 1)
         return known[h]
 
-    def logp(h, w):
-        if h not in after:
-            return math.log10(p1(w))
-        total, alpha = context(h)
-        return math.log10(cut(after[h][w], d2) / total if w in after[h] else alpha * p1(w))
+    def p(h, w):
+        if h and h not in after:
+            return p(h[1:], w)
+        if not big:
+            return 1.0
+        total, alpha = history(h)
+        if w in after[h]:
+            return cut(after[h][w], len(h)) / total
+        return alpha * (p(h[1:], w) if h else 1.0)
 
     out = []
     for i, held, w in docs:
         base = sum(math.log10((uni[x] + 1) / (big + v + 1)) for x in w)
-        out.append((i, held, len(w), sum(x in uni for x in w), big, base, sum(logp(h, x) for h, x in zip([None, *w], w))))
-    sums = [sum(10 ** logp(h, w) for w in [*uni, "never seen"]) for h in list(after)[:20]]
+        score = sum(math.log10(p((h2, h1)[2 - order + 1 :] if order > 1 else (), x)) for h2, h1, x in zip([None, None, *w], [None, *w], w))
+        out.append((i, held, len(w), sum(x in uni for x in w), big, base, score))
+    sums = [sum(p(h, w) for w in [*uni, "never seen"]) for h in list(after)[:40]]
     return out, sums
 
 
@@ -67,13 +83,40 @@ def same(got, want):
 
 
 def test_katz(spark, odd_docs, no_docs):
-    want, sums = plain_katz([(r.doc_id, r.text) for r in common.table(spark, SF, "documents").collect()])
+    rows = [(r.doc_id, r.text) for r in common.table(spark, SF, "documents").collect()]
+    want, sums = plain_katz(rows)
     assert all(s == pytest.approx(1) for s in sums)
-    got = katz.op1_katz(spark, SF).collect()
+    got = katz.score(common.table(spark, SF, "documents")).collect()
     same(got, want)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+    for order in (1, 2):
+        same(katz.score(common.table(spark, SF, "documents"), order=order).collect(), plain_katz(rows, order)[0])
     same(katz.score(odd_docs).collect(), plain_katz([(r.doc_id, r.text) for r in odd_docs.collect()])[0])
     assert katz.score(no_docs).count() == 0
+    held = spark.createDataFrame([(i, "a b") for i in range(40) if common.crc_of(i) % 7 == 2], "doc_id long, text string")
+    assert {(r.train_tokens, r.score) for r in katz.score(held).collect()} == {(0, 0.0)}
+
+
+def test_katz_frequent_words_and_many_slices(spark, tmp_path, monkeypatch):
+    """Frequent middle words are dealt by their first words, their pairs meet by ranges; slices and owners are many."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["the", "the", "of", "a", f"w{rng.randrange(60)}", f"v{rng.randrange(3000)}"]) for _ in range(rng.randrange(60)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        same(katz.score(docs, folder=str(tmp_path)).collect(), plain_katz(rows)[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    frequent = {f.parent.name for f in tmp_path.glob("frequent/*/*.parquet")}
+    assert len(frequent) >= 3 and len(list(tmp_path.glob("triples/*"))) > 10
+    n = sum(r.n for r in spark.read.parquet(str(tmp_path / "triples")).groupBy("b").agg(F.sum("n").alias("n")).collect())
+    assert n == sum(len(t.split()) + 1 for i, t in rows if common.crc_of(i) % 7 != 2)
+
+
+def test_katz_equals_sql(spark):
+    got, want = compare(spark, duck(SF), SF, katz.op1_katz, katz.SQL)
+    assert got == want
 
 
 def test_quality(spark, odd_docs, no_docs):

@@ -90,10 +90,14 @@ def write_file(folder: str, name: str, data: bytes) -> None:
     files.move(temporary, f"{at}/{name}")
 
 
-def read_file(folder: str, name: str) -> bytes:
+def read_file(folder: str, name: str, start: int = 0, size: int | None = None) -> bytes:
+    """A file, or ``size`` bytes of it from ``start``."""
     files, at = filesystem(folder)
-    with files.open_input_stream(f"{at}/{name}", compression=None) as f:
-        return f.read()
+    if size is None:
+        with files.open_input_stream(f"{at}/{name}", compression=None) as f:
+            return f.read()
+    with files.open_input_file(f"{at}/{name}") as f:
+        return f.read_at(size, start)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,18 @@
-"""Katz back-off language model over word pairs, kept in partitioned tables.
+"""Katz back-off language model over word triples, kept in partitioned tables.
 
 Events are the training words, the end of a text, and one unknown word. With
-counts r of (previous, word) and Good-Turing discounts d_r for r up to 5:
+counts r of (history, word) and Good-Turing discounts d_r for r up to 5, of each
+order for itself, and h' the history h without its first word:
 
     P(w | h) = d_r r / n(h)            if (h, w) was seen
-             = alpha(h) P(w)           if only h was seen
-             = P(w)                    if h was not
+             = alpha(h) P(w | h')      if only h was seen
+             = P(w | h')               if h was not
     P(w)     = d_c c / N, and what discounting leaves for the unknown word
 
-alpha(h) is what the seen words leave, over the unigram mass they leave: both
-sums are taken over all words seen after h, so each distribution sums to 1. A
-context whose counts are all too high to be discounted counts one more event. The
-first word of a text follows the end of a text.
+alpha(h) is what the seen words leave, over the mass that the lower order leaves
+to words not seen after h: both sums are taken over all words seen after h, so
+each distribution sums to 1. A history whose counts are all too high to be
+discounted counts one more event. Before the first word of a text stand ends.
 
 How it runs:
 1. Each slice of documents becomes a row: its distinct words, and its tokens as
@@ -20,24 +21,33 @@ How it runs:
    of the number, with at most sqrt(2N) steps: that table, unlike the
    vocabulary, is small enough to be handed to every task. Each slice gets the
    numbers of its own words by a join and keeps them in a file.
-3. Each slice sends its word pairs, with documents, as one packed block to each
-   owner; an owner has a hash range of contexts. Contexts so frequent that they
-   would fill an owner (at most twice as many as owners) are dealt by word too.
-4. Owners add up the blocks, write their part of the pair table, and report
-   counts of counts. With the discounts known they read that part, make and write
-   the back-off weights, and score their pairs: a partial sum a document.
-5. The partial sums of a slice meet and give its documents' scores.
-
-Null text is empty: one token, the end. Repeated rows count and score each. Null
-ids are like the empty text in the choice of training rows. An empty training
-part gives N = 0: every token is then unknown with probability 1. Other columns
-are ignored.
+3. A triple (a, b, c) belongs to the owner of its middle word. That owner has all
+   of a history (a, b), all of (b), all pairs (b, c) and all triples, so both
+   orders and their sums are local. Each task writes the triples of its slices,
+   with their documents, to one file in segments by owner; a table lists them.
+   Middle words so frequent that they would fill an owner (at most twice as many
+   as owners) are dealt by the first word too; their pairs alone are spread.
+4. Owners add up their segments, write their part of the tables of triples and
+   pairs, and report counts of counts. Pairs of frequent words meet by word and
+   range, and are written as files of a range each.
+5. With the discounts known, owners read their parts, make and write the tables of
+   totals and back-off weights, and score their segments from the lowest order
+   up: a partial sum a document. The sums of a slice meet and give the scores.
+
+An owner holds its share of the tokens; more shuffle partitions make shares smaller.
+
+Null text is empty: one token, the end. Very long texts are scored whole. Repeated
+rows count and score each. Ties in the numbering go by word. Null ids are like the
+empty text in the choice of training rows. An empty training part gives N = 0: every
+token is then unknown with probability 1; an empty table gives an empty result. More
+than 2^32 - 2 different words are an error. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
-import math
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +63,13 @@ from wardspark.llm import common
 END, UNKNOWN, DISCOUNTED = 0, 0xFFFFFFFF, 5
 SLICE = 16 << 20
 CHUNK = "chunk long, words array<binary>, counts array<long>, tokens binary, doc_ids array<long>, lengths array<int>, held array<boolean>"
-BLOCK = "bucket int, chunk long, keys binary, trained binary, reps binary, docs binary"
+SEGMENT = "owner int, name string, start long, size long"
+COUNTED = "kind int, id long, n long, span long, words binary, counts binary"
+HOT = "kind int, id long, n long, span long, uni double, left array<long>"
+#: What the rows of COUNTED and HOT are: counts of counts of triples and of pairs, and pairs of a frequent word.
+TRIPLES, PAIRS, FREQUENT = 3, 2, 1
+#: Bits of the ranges of word numbers that pairs of frequent words are kept in.
+SPAN = 20
 PART = "chunk long, kind int, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, at array<int>, value array<double>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -71,6 +87,18 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def pack_all(arrays: list[np.ndarray]) -> bytes:
+    parts = [pack(x, "<u4") for x in arrays]
+    return struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    (n,) = struct.unpack_from("<Q", data)
+    sizes = struct.unpack_from(f"<{n}Q", data, 8)
+    ends = np.cumsum((8 + 8 * n, *sizes))
+    return [unpack(data[a:b], "<u4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 # ---- 1. slices -----------------------------------------------------------------
 def _chunks(mod: int, rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +199,7 @@ def discounts(histogram: dict[int, int]) -> np.ndarray:
     return np.array([1.0, 0.5])
 
 
-# ---- 3. blocks -----------------------------------------------------------------------
+# ---- 3. segments ---------------------------------------------------------------------
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -180,19 +208,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers of 32 bits as one that sorts like them."""
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+
+
 def owner_keys(spark: SparkSession, n: int) -> list[int]:
     """For every partition of repartition(n, key) an integer key that goes to it."""
     rows = spark.range(0, 24 * n + 64).select(F.col("id").cast("int").alias("k"))
-    found = rows.select(F.min("k").over(_by_part(n)).alias("k")).distinct().collect()
+    found = rows.groupBy(F.pmod(F.hash("k"), F.lit(n))).agg(F.min("k").alias("k")).collect()
     return sorted(r.k for r in found)
 
 
-def _by_part(n: int):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.pmod(F.hash("k"), F.lit(n)))
-
-
 def _numbered(row: dict, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all tokens with an end after every text, document of each)."""
     lengths = np.array(row["lengths"], np.int64)
@@ -232,143 +259,254 @@ def _write_numbers(folder: str):
     return run
 
 
-def _blocks(folder: str, owners: list[int], hot: int):
+def _segments(folder: str, owners: list[int], hot: int, most: int = 256 << 20):
+    """Writes the triples of a task's slices by owner; reports where each owner's segment is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(owners, np.int64)
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {k: b.column(k)[i].as_py() for k in ("chunk", "tokens", "lengths", "held")}
-                word, doc = _numbered(row, folder)
-                ctx = np.concatenate([[END], word[:-1]]).astype(np.uint32)  # the end of the last text starts the next
+        held: list[list[bytes]] = [[] for _ in owners]
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size
+            name, made = f"{uuid.uuid4().hex}.seg", [b"".join(struct.pack("<Q", len(x)) + x for x in parts) for parts in held]
+            common.write_file(f"{folder}/segments", name, b"".join(made))
+            sizes = np.array([len(x) for x in made])
+            used, starts = np.flatnonzero(sizes), np.cumsum(sizes) - sizes
+            held, size = [[] for _ in owners], 0
+            cols = [pa.array(np.array(owners, np.int32)[used]), pa.array([name] * len(used)), pa.array(starts[used]), pa.array(sizes[used])]
+            return pa.record_batch(cols, names=["owner", "name", "start", "size"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(k)[i].as_py() for k in ("chunk", "tokens", "lengths", "held")}
+                c, doc = _numbered(row, folder)
+                b = np.concatenate([[END], c[:-1]])[: len(c)].astype(np.uint32)  # an end stands before every text
+                a = np.concatenate([[END], b[:-1]])[: len(b)]
+                a[np.flatnonzero(np.diff(doc, prepend=-1))] = END
                 train = ~np.array(row["held"], bool)[doc]
-                key = ctx.astype(np.uint64) << np.uint64(32) | word
-                known = ctx != UNKNOWN
-                key, doc, train = key[known], doc[known].astype(np.uint32), train[known]
-                order = np.argsort(key, kind="stable")
-                key, doc, train = key[order], doc[order], train[order]
-                heads = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-                reps = np.diff(np.concatenate([heads, [len(key)]]))
-                uniq, trained = key[heads], np.add.reduceat(train.astype(np.int64), heads)
-                c = uniq >> np.uint64(32)
-                owner = (mix(np.where(c < hot, uniq, c)) % np.uint64(len(names))).astype(np.int64)
+                known = b != UNKNOWN
+                ba, c, doc, train = joint(b[known], a[known]), c[known], doc[known], train[known]
+                order = np.lexsort((c, ba))
+                ba, c, doc, train = ba[order], c[order], doc[order], train[order]
+                heads = np.flatnonzero(np.concatenate([[True], (ba[1:] != ba[:-1]) | (c[1:] != c[:-1])])) if len(c) else np.zeros(0, np.int64)
+                if not len(heads):
+                    continue
+                reps = np.diff(np.append(heads, len(c)))
+                trained, ba, c = np.add.reduceat(train.astype(np.int64), heads), ba[heads], c[heads]
+                b = ba >> np.uint64(32)
+                owner = (mix(np.where(b < hot, ba, b)) % np.uint64(len(owners))).astype(np.int32)
                 by = np.argsort(owner, kind="stable")
-                starts = np.searchsorted(owner[by], np.arange(len(names) + 1))
-                for k in range(len(names)):
-                    at = by[starts[k] : starts[k + 1]]
-                    if not len(at):
-                        continue
+                cuts = np.searchsorted(owner[by], np.arange(len(owners) + 1))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    at = by[cuts[k] : cuts[k + 1]]
                     r = reps[at]
-                    pos = np.repeat(heads[at] - (np.cumsum(r) - r), r) + np.arange(r.sum())
-                    keys = np.diff(uniq[at], prepend=np.uint64(0))
-                    cols = [[int(names[k])], [row["chunk"]], [pack(keys, "<u8")], [pack(trained[at], "<u4")], [pack(r, "<u4")], [pack(doc[pos], "<u4")]]
-                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.record_batch([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=["bucket", "chunk", "keys", "trained", "reps", "docs"])
+                    place = np.repeat(heads[at] - (np.cumsum(r) - r), r) + np.arange(r.sum())
+                    steps = np.diff(b[at].astype(np.int64), prepend=0)
+                    arrays = [steps, ba[at] & np.uint64(0xFFFFFFFF), c[at], trained[at], r, doc[place]]
+                    made = struct.pack("<q", row["chunk"]) + pack_all(arrays)
+                    held[k].append(made)
+                    size += len(made)
+                if size > most:
+                    yield close()
+        if size:
+            yield close()
 
     return run
 
 
-# ---- 4. owners ---------------------------------------------------------------------------
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(bucket, its blocks); a partition holds one bucket, or few where keys fall together."""
-    found: dict[int, list[tuple]] = {}
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            found.setdefault(row[0], []).append(row)
-    yield from sorted(found.items())
+def _owned(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(owner, its segments as (chunk, b and a joint, c, trained, reps, docs)); a partition has one owner, or few where keys fall together."""
+    where: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for owner, *at in zip(*[batch.column(c).to_pylist() for c in ("owner", "name", "start", "size")], strict=True):
+            where.setdefault(owner, []).append(at)
+    for owner, places in sorted(where.items()):
+        found = []
+        for name, start, size in sorted(places):
+            data, at = common.read_file(f"{folder}/segments", name, start, size), 0
+            while at < len(data):
+                (n,) = struct.unpack_from("<Q", data, at)
+                (chunk,) = struct.unpack_from("<q", data, at + 8)
+                steps, a, *rest = unpack_all(data[at + 16 : at + 8 + n])
+                found.append((chunk, joint(np.cumsum(steps, dtype=np.uint64), a), *rest))
+                at += 8 + n
+        yield owner, found
+
+
+# ---- 4. counts ---------------------------------------------------------------------------
+def summed(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (high, low) in order, with the sums of their counts."""
+    order = np.lexsort((low, high))
+    high, low, counts = high[order], low[order], counts[order].astype(np.int64)
+    if not len(high):
+        return high, low, counts
+    heads = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    return high[heads], low[heads], np.add.reduceat(counts, heads)
+
+
+def _table(**columns: np.ndarray) -> bytes:
+    sink = io.BytesIO()
+    whole = {k: "BYTE_STREAM_SPLIT" for k, v in columns.items() if v.dtype != np.uint32 or k == "c"}
+    pq.write_table(pa.table(columns), sink, compression="zstd", use_dictionary=[k for k in columns if k not in whole], column_encoding=whole)
+    return sink.getvalue()
 
 
-def _merged(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs seen in training, rising; their counts)."""
-    keys = np.concatenate([np.cumsum(unpack(b[2], "<u8"), dtype=np.uint64) for b in blocks])
-    counts = np.concatenate([unpack(b[3], "<u4") for b in blocks])
-    keys, counts = keys[counts > 0], counts[counts > 0].astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+def _read_table(folder: str, owner: int) -> list[np.ndarray]:
+    table = pq.read_table(io.BytesIO(common.read_file(f"{folder}/owner={owner}", "part.parquet")))
+    return [table.column(c).to_numpy() for c in table.column_names]
 
 
-def _parquet(table: pa.Table) -> bytes:
-    sink = io.BytesIO()
-    pq.write_table(table, sink, compression="zstd")
-    return sink.getvalue()
+def _counts_of_counts(kind: int, n: np.ndarray) -> list[tuple]:
+    seen = np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
+    return [(kind, r, int(seen[r])) for r in range(1, DISCOUNTED + 2)]
 
 
-COUNTED = "kind int, id long, n long, uni double, left array<long>"
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    rows = [(*r, *[None] * (len(fields) - len(r))) for r in rows]
+    return pa.record_batch([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _count(folder: str, uni: Unigrams, hot: int):
-    """Writes each owner's pair table; reports counts of counts (kind 0) and the sums of hot contexts (kind 1)."""
+def _count(folder: str, hot: int):
+    """Writes each owner's part of the tables of triples and pairs; COUNTED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blocks in _by_bucket(batches):
-            keys, counts = _merged(blocks)
-            ctx, word = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            table = pa.table({"ctx": ctx, "word": word, "n": counts})
-            common.write_file(f"{folder}/pairs/bucket={bucket}", "part.parquet", _parquet(table))
-            small = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-            rows = [(0, r, int(small[r]), 0.0, None) for r in range(1, DISCOUNTED + 2)]
-            ends = np.searchsorted(ctx, np.arange(hot + 1))
-            for c in range(hot):
-                a, b = ends[c], ends[c + 1]
-                if a < b:
-                    by_count = np.bincount(np.minimum(counts[a:b], DISCOUNTED + 1), minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 1]
-                    rows.append((1, c, int(counts[a:b].sum()), float(uni.probability(word[a:b].astype(np.int64)).sum()), by_count.tolist()))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=["kind", "id", "n", "uni", "left"])
+        for owner, segments in _owned(batches, folder):
+            ba, c, n = (np.concatenate([s[k] for s in segments]) for k in (1, 2, 3))
+            ba, c, n = summed(ba[n > 0], c[n > 0], n[n > 0])
+            b = (ba >> np.uint64(32)).astype(np.uint32)
+            counts = n.astype(np.uint32) if n.max(initial=0) <= UNKNOWN else n
+            common.write_file(f"{folder}/triples/owner={owner}", "part.parquet", _table(a=ba.astype(np.uint32), b=b, c=c, n=counts))
+            rows = _counts_of_counts(TRIPLES, n)
+            pb, pc, pn = summed(b, c, n)
+            cold = pb >= hot
+            common.write_file(f"{folder}/pairs/owner={owner}", "part.parquet", _table(b=pb[cold], c=pc[cold], n=pn[cold]))
+            rows += _counts_of_counts(PAIRS, pn[cold])
+            pb, pc, pn = pb[~cold], pc[~cold], pn[~cold]
+            span = pc >> np.uint32(SPAN)
+            heads = np.flatnonzero(np.concatenate([[True], (pb[1:] != pb[:-1]) | (span[1:] != span[:-1])])) if len(pb) else []
+            for x, y in zip(heads, [*heads[1:], len(pb)], strict=True) if len(pb) else ():
+                rows.append((FREQUENT, int(pb[x]), int(pn[x:y].sum()), int(span[x]), pack(np.diff(pc[x:y], prepend=np.uint32(0)), "<u4"), pack(pn[x:y], "<u8")))
+            yield _batch(rows, COUNTED)
 
     return run
 
 
-def backoff(n: np.ndarray, by_count: np.ndarray, uni: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(total to divide by, alpha) of contexts with n events, by_count[:, r-1] words seen r times, and seen unigram mass."""
+def _frequent(folder: str, uni: Unigrams):
+    """Pairs of frequent words, sorted by word and range, in: a file of each range, and HOT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            words = np.concatenate([np.cumsum(unpack(w, "<u4"), dtype=np.uint32) for w, _ in held])
+            _, words, counts = summed(np.zeros(len(words), np.uint8), words, np.concatenate([unpack(n, "<u8") for _, n in held]))
+            common.write_file(f"{folder}/frequent/word={now[0]}", f"{now[1]}.parquet", _table(c=words, n=counts))
+            left = np.bincount(np.minimum(counts, DISCOUNTED + 1), minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 1]
+            own = (FREQUENT, now[0], int(counts.sum()), now[1], float(uni.probability(words.astype(np.int64)).sum()), left.tolist())
+            return _batch([own, *_counts_of_counts(PAIRS, counts)], HOT)
+
+        for batch in batches:
+            for word, span, w, n in zip(*[batch.column(c).to_pylist() for c in ("id", "span", "words", "counts")], strict=True):
+                if (word, span) != now and held:
+                    yield close()
+                    held = []
+                now = (word, span)
+                held.append((w, n))
+        if held:
+            yield close()
+
+    return run
+
+
+def backoff(n: np.ndarray, by_count: np.ndarray, lower: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total to divide by, alpha) of histories with n events, by_count[:, r-1] words seen r times, whose lower-order mass is ``lower``."""
     r = np.arange(1, DISCOUNTED + 1)
     factor = np.array([1 - d[x] if x < len(d) else 0.0 for x in r])
     freed = by_count @ (factor * r)
     total = np.where(freed > 1e-12, n, n + 1).astype(float)
     left = np.where(freed > 1e-12, freed, 1.0) / np.maximum(total, 1)
-    return total, left / np.maximum(1 - uni, 1e-300)
-
-
-def _score(folder: str, uni: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]):
-    """Reads each owner's pair table, writes its back-off table, and scores its blocks."""
+    return total, left / np.maximum(1 - lower, 1e-300)
+
+
+class Order:
+    """The histories and events of one order, in order: keys of histories, and counts of (history, word) with the lower order's probabilities."""
+
+    def __init__(self, history: np.ndarray, word: np.ndarray, n: np.ndarray, lower: np.ndarray, d: np.ndarray):
+        heads = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]])) if len(history) else np.zeros(0, np.int64)
+        self.histories, self.d = history[heads], d
+        spans = np.diff(np.append(heads, len(history)))
+        self.events, self.n = joint(np.repeat(np.arange(len(heads)), spans), word), n
+        if len(heads):
+            by_count = np.stack([np.add.reduceat((n == r).astype(np.int64), heads) for r in range(1, DISCOUNTED + 1)], 1)
+            self.total, self.alpha = backoff(np.add.reduceat(n, heads), by_count, np.add.reduceat(lower, heads), d)
+        else:
+            self.total = self.alpha = np.zeros(0)
+
+    def probability(self, history: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """P(word | history), given that of the lower order."""
+        if not len(self.histories):
+            return lower
+        at = np.minimum(np.searchsorted(self.histories, history), len(self.histories) - 1)
+        known = self.histories[at] == history
+        event = joint(at, word)
+        place = np.minimum(np.searchsorted(self.events, event), len(self.events) - 1)
+        seen = known & (self.events[place] == event)
+        return np.where(seen, discounted(self.n[place], self.d) / self.total[at], np.where(known, self.alpha[at] * lower, lower))
+
+
+def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return n * np.concatenate([d, [1.0]])[np.minimum(n, len(d))]
+
+
+class Pairs:
+    """P(c | b) of an owner: its own pairs, and those of frequent words from their files, range by range."""
+
+    def __init__(self, folder: str, owner: int, uni: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float, list[int]]]):
+        b, c, n = _read_table(f"{folder}/pairs", owner)
+        self.order = Order(b.astype(np.uint64), c, n.astype(np.int64), uni.probability(c.astype(np.int64)), d)
+        self.folder, self.uni, self.d, self.hot = folder, uni, d, hot
+
+    def probability(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of rows sorted by b."""
+        lower = self.uni.probability(c.astype(np.int64))
+        out = self.order.probability(b, c, lower)
+        for word, (total, alpha, spans) in self.hot.items():
+            x, y = np.searchsorted(b, np.array([word, word + 1], b.dtype))
+            if x == y:
+                continue
+            out[x:y] = alpha * lower[x:y]
+            span = c[x:y] >> np.uint32(SPAN)
+            for s in spans:
+                mine = x + np.flatnonzero(span == s)
+                if not len(mine):
+                    continue
+                table = pq.read_table(io.BytesIO(common.read_file(f"{self.folder}/frequent/word={word}", f"{s}.parquet")))
+                words, n = (table.column(k).to_numpy() for k in ("c", "n"))
+                at = np.minimum(np.searchsorted(words, c[mine]), len(words) - 1)
+                seen = words[at] == c[mine]
+                out[mine[seen]] = discounted(n[at[seen]], self.d) / total
+        return out
+
+
+def _score(folder: str, uni: Unigrams, d2: np.ndarray, d3: np.ndarray, hot: dict[int, tuple[float, float, list[int]]], order: int):
+    """Reads each owner's tables, writes its back-off tables, and scores its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blocks in _by_bucket(batches):
-            pairs = pq.read_table(io.BytesIO(common.read_file(f"{folder}/pairs/bucket={bucket}", "part.parquet")))
-            ctx, word, n = (pairs.column(c).to_numpy() for c in ("ctx", "word", "n"))
-            keys = ctx.astype(np.uint64) << np.uint64(32) | word
-            heads = np.flatnonzero(np.diff(ctx.astype(np.int64), prepend=-1))
-            seen = ctx[heads]
-            if len(heads):
-                by_count = np.stack([np.add.reduceat((n == r).astype(np.int64), heads) for r in range(1, DISCOUNTED + 1)], 1)
-                mass = np.add.reduceat(uni.probability(word.astype(np.int64)), heads)
-                total, alpha = backoff(np.add.reduceat(n, heads), by_count, mass, d)
-                for i in np.flatnonzero(np.isin(seen, list(hot))):
-                    total[i], alpha[i] = hot[int(seen[i])]
-                common.write_file(f"{folder}/backoff/bucket={bucket}", "part.parquet", _parquet(pa.table({"ctx": seen, "total": total, "alpha": alpha})))
-                spans = np.diff(np.concatenate([heads, [len(n)]]))
-                scale = np.concatenate([d, [1.0]])[np.minimum(n, len(d))]
-                logp = np.log10(n * scale / np.repeat(total, spans))
-                log_alpha = np.log10(alpha)
-            hot_alpha = {c: math.log10(a) for c, (_, a) in hot.items()}
-            for _, chunk, k, _, r, docs in blocks:
-                asked = np.cumsum(unpack(k, "<u8"), dtype=np.uint64)
-                value = np.log10(uni.probability((asked & np.uint64(0xFFFFFFFF)).astype(np.int64)))
-                context = (asked >> np.uint64(32)).astype(np.uint32)
-                if len(heads):
-                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                    hit = keys[at] == asked
-                    c = np.minimum(np.searchsorted(seen, context), len(seen) - 1)
-                    value = np.where(hit, logp[at], value + np.where(seen[c] == context, log_alpha[c], 0.0))
-                else:
-                    hit, c = np.zeros(len(asked), bool), None
-                # a hot context may have been seen by other owners only
-                for h in np.unique(context[~hit]):
-                    if int(h) in hot_alpha and not (c is not None and (seen == h).any()):
-                        value[(context == h) & ~hit] += hot_alpha[int(h)]
-                sums = np.bincount(unpack(docs, "<u4"), np.repeat(value, unpack(r, "<u4")))
+        for owner, segments in _owned(batches, folder):
+            pairs = Pairs(folder, owner, uni, d2, hot)
+            a, b, c, n = _read_table(f"{folder}/triples", owner)
+            ba = joint(b, a)
+            triples = Order(ba, c, n.astype(np.int64), pairs.probability(b.astype(np.uint64), c), d3)
+            known, top = pairs.order, triples.histories
+            common.write_file(f"{folder}/backoff2/owner={owner}", "part.parquet", _table(b=known.histories.astype(np.uint32), total=known.total, alpha=known.alpha))
+            common.write_file(f"{folder}/backoff3/owner={owner}", "part.parquet", _table(a=top.astype(np.uint32), b=(top >> np.uint64(32)).astype(np.uint32), total=triples.total, alpha=triples.alpha))
+            for chunk, ba, c, _, reps, docs in segments:
+                b = ba >> np.uint64(32)
+                p = uni.probability(c.astype(np.int64)) if order == 1 else pairs.probability(b, c)
+                p = triples.probability(ba, c, p) if order == 3 else p
+                sums = np.bincount(docs, np.repeat(np.log10(p), reps))
                 used = np.flatnonzero(sums)
                 yield _part(chunk, 1, at=used.astype(np.int32), value=sums[used])
 
@@ -426,10 +564,12 @@ def _gather(n_train: int):
     return run
 
 
-def score(docs: DataFrame, mod: int = 7, rest: int = 2, folder: str | None = None) -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, rest: int = 2, folder: str | None = None, order: int = 3) -> DataFrame:
     """RESULT for every row; rows whose crc32(id) mod ``mod`` is ``rest`` are not learned from.
 
-    The model stays in ``folder``: pairs and backoff by bucket, and the ranked vocabulary.
+    ``order`` is the longest that a token is looked up in: 3, 2 or 1 words. The model
+    stays in ``folder``: triples, pairs and backoff by owner, pairs of frequent words
+    by word and range, and the ranked vocabulary.
     """
     spark = docs.sparkSession
     folder = folder or common.work_dir(spark, "katz")
@@ -437,33 +577,91 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, folder: str | None = Non
     vocab = common.saved(vocabulary(chunks, folder), f"{folder}/vocabulary")
     steps = vocab.groupBy("c").agg(F.min("gid").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # at most sqrt(2N) rows
     steps.sort(key=lambda r: r.first)
+    words = sum(r.n for r in steps)
+    if words >= UNKNOWN:
+        raise ValueError(f"{words} different words: their numbers have 32 bits")
     ends = chunks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    uni = Unigrams(np.array([r["first"] for r in steps], np.int64), np.array([r.c for r in steps], np.int64), sum(r.n for r in steps), ends)
+    uni = Unigrams(np.array([r["first"] for r in steps], np.int64), np.array([r.c for r in steps], np.int64), words, ends)
     each = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
     numbers = each.join(vocab.select("word", "gid"), "word", "left").select("chunk", "pos", "gid")
     numbers = numbers.repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk", "pos")
     numbers.mapInArrow(_write_numbers(folder), "done int").write.mode("overwrite").parquet(f"{folder}/numbered")
     owners = owner_keys(spark, common.partitions(spark))
-    # contexts with more than half an owner's share of all tokens; word numbers rise as counts fall
+    # middle words with more than half an owner's share of all tokens; word numbers rise as counts fall
     limit = uni.n / (2 * len(owners))
     hot = 1 + sum(r.n for r in steps if r.c > limit)
     slim = chunks.select("chunk", "tokens", "lengths", "held")
-    blocks = slim.mapInArrow(_blocks(folder, owners, hot), BLOCK).repartition(len(owners), "bucket").checkpoint()
-    counted = blocks.mapInArrow(_count(folder, uni, hot), COUNTED)
+    segments = common.saved(slim.mapInArrow(_segments(folder, owners, hot), SEGMENT), f"{folder}/placed")
+    owned = segments.repartition(len(owners), "owner")
+    counted = common.saved(owned.mapInArrow(_count(folder, hot), COUNTED), f"{folder}/counted")
+    spread = counted.filter(F.col("kind") == FREQUENT).repartition(common.partitions(spark), "id", "span").sortWithinPartitions("id", "span")
+    frequent = common.saved(spread.mapInArrow(_frequent(folder, uni), HOT), f"{folder}/met")
+    plain = counted.filter(F.col("kind") != FREQUENT).select("kind", "id", "n").unionByName(frequent.filter(F.col("kind") != FREQUENT).select("kind", "id", "n"))
+    seen = {(r.kind, r.id): r["sum(n)"] for r in plain.groupBy("kind", "id").agg(F.sum("n")).collect()}  # 12 rows
+    d2, d3 = (discounts({r: n for (k, r), n in seen.items() if k == kind}) for kind in (PAIRS, TRIPLES))
     left = [F.sum(F.get("left", F.lit(i))).alias(f"l{i}") for i in range(DISCOUNTED)]
-    counted = counted.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.sum("uni").alias("uni"), *left).collect()  # at most 6 + 2 x owners rows
-    d = discounts({r.id: r.n for r in counted if r.kind == 0})
-    hot_rows = [r for r in counted if r.kind == 1]
-    hot_values = {}
-    if hot_rows:
-        by_count = np.array([[r[f"l{i}"] for i in range(DISCOUNTED)] for r in hot_rows])
-        total, alpha = backoff(np.array([r.n for r in hot_rows]), by_count, np.array([r.uni for r in hot_rows]), d)
-        hot_values = {r.id: (float(t), float(a)) for r, t, a in zip(hot_rows, total, alpha, strict=True)}
-    parts = blocks.mapInArrow(_score(folder, uni, d, hot_values), PART)
+    # a row a frequent word, at most 1 + 2 x owners, with its ranges
+    sums = frequent.filter(F.col("kind") == FREQUENT).groupBy("id").agg(F.sum("n").alias("n"), F.sum("uni").alias("uni"), F.collect_list("span").alias("spans"), *left).collect()
+    by_word = {}
+    for r in sums:
+        total, alpha = backoff(np.array([r.n]), np.array([[r[f"l{i}"] for i in range(DISCOUNTED)]]), np.array([r.uni]), d2)
+        by_word[r.id] = (float(total[0]), float(alpha[0]), sorted(r.spans))
+    parts = segments.repartition(len(owners), "owner").mapInArrow(_score(folder, uni, d2, d3, by_word, order), PART)
     stats = chunks.select("chunk", "tokens", "lengths", "held", "doc_ids").mapInArrow(_stats(folder, uni), PART)
     met = stats.unionByName(parts).repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk", "kind")
     return met.mapInArrow(_gather(uni.n), RESULT)
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(common.table(spark, sf_dir, "documents"))
+    """Scores to 6 places: sums of the same numbers in another order differ beyond."""
+    out = score(common.table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def _sql() -> str:
+    """The whole model in DuckDB SQL: counts of three orders, discounts, back-off weights, and the three cases from the lowest order up."""
+    orders = []
+    keys = {1: [], 2: ["b"], 3: ["a", "b"]}
+    for k, h in keys.items():
+        by = ", ".join([*h, "c"])
+        cuts = " UNION ALL ".join(
+            f"SELECT {m} AS k, ({m + 1} * max(m) FILTER (WHERE n = {m + 1})) / (max(m) FILTER (WHERE n = 1))::DOUBLE AS cut, "
+            f"count(*) FILTER (WHERE n <= {m + 1}) = {m + 1} AS whole FROM seen{k}"
+            for m in range(1, DISCOUNTED + 1)
+        )
+        orders.append(f"""count{k} AS MATERIALIZED (SELECT {by}, count(*) AS n FROM train GROUP BY ALL),
+seen{k} AS MATERIALIZED (SELECT n, count(*) AS m FROM count{k} GROUP BY n),
+cuts{k} AS ({cuts}),
+factors{k} AS (SELECT k, s.n, ((s.n + 1) * t.m / (s.n * s.m)::DOUBLE - cut) / (1 - cut) AS f FROM cuts{k} JOIN seen{k} s ON s.n <= k JOIN seen{k} t ON t.n = s.n + 1 WHERE whole AND cut < 1),
+best{k} AS (SELECT max(k) AS k FROM (SELECT k FROM factors{k} GROUP BY k HAVING min(f) > 0 AND max(f) < 1)),
+d{k} AS MATERIALIZED (SELECT n, f FROM factors{k} JOIN best{k} USING (k) UNION ALL SELECT 1, 0.5 FROM best{k} WHERE k IS NULL),
+cut{k} AS MATERIALIZED (SELECT c.*, c.n * coalesce(f, 1.0) AS kept FROM count{k} c LEFT JOIN d{k} USING (n))""")
+        if k == 1:
+            orders.append("total1 AS (SELECT CASE WHEN sum(n) - sum(kept) > 1e-9 THEN sum(n) ELSE sum(n) + 1 END AS total, sum(kept) AS kept, sum(n) AS big, count(*) AS v FROM cut1)")
+            orders.append("p1 AS MATERIALIZED (SELECT c, kept / total AS p FROM cut1, (SELECT total FROM total1))")
+            continue
+        low = ", ".join(["c", *h[1:]])
+        mass = f"""SELECT {', '.join(h)}, sum(n) AS n, sum(n) - sum(kept) AS freed, sum(p) AS lower FROM cut{k} JOIN p{k - 1} USING ({low}) GROUP BY ALL"""
+        orders.append(f"""history{k} AS MATERIALIZED (SELECT {', '.join(h)}, CASE WHEN freed > 1e-9 THEN n ELSE n + 1 END AS total,
+  CASE WHEN freed > 1e-9 THEN freed / n ELSE 1 / (n + 1)::DOUBLE END / (1 - lower) AS alpha FROM ({mass}))""")
+        orders.append(f"p{k} AS MATERIALIZED (SELECT {by}, kept / total AS p FROM cut{k} JOIN history{k} USING ({', '.join(h)}))")
+    return f"""
+WITH texts AS MATERIALIZED (SELECT doc_id, crc32 % 7 = 2 AS held_out, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+'), ['']) AS w FROM (SELECT *, {_CRC} AS crc32 FROM documents)),
+tokens AS MATERIALIZED (SELECT doc_id, held_out, CASE WHEN i > 2 THEN w[i - 2] ELSE '' END AS a, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS b, w[i] AS c
+  FROM texts, unnest(range(1, len(w) + 1)) AS t(i)),
+train AS (SELECT a, b, c FROM tokens WHERE NOT held_out),
+{", ".join(orders)},
+scored AS (SELECT t.doc_id, t.held_out, coalesce(n1.n, 0) AS n, coalesce(p3.p, coalesce(h3.alpha, 1) * coalesce(p2.p, coalesce(h2.alpha, 1) * coalesce(p1.p, 1 - total1.kept / total1.total))) AS p, big, v
+  FROM tokens t CROSS JOIN total1 LEFT JOIN count1 n1 ON t.c = n1.c LEFT JOIN p1 ON t.c = p1.c LEFT JOIN p2 ON t.b = p2.b AND t.c = p2.c LEFT JOIN history2 h2 ON t.b = h2.b
+  LEFT JOIN p3 ON t.a = p3.a AND t.b = p3.b AND t.c = p3.c LEFT JOIN history3 h3 ON t.a = h3.a AND t.b = h3.b)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n > 0) AS n_known, max(big)::BIGINT AS train_tokens,
+  round(sum(log10((n + 1) / (big + 1 * (v + 1))::DOUBLE)), 6) AS base_score, round(sum(log10(p)), 6) AS score FROM scored GROUP BY doc_id, held_out"""
+
+
+#: CRC-32 of the id as text, bit by bit: eight steps a byte, of 20 bytes at most.
+_CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substring(doc_id::VARCHAR, i, 1))::BIGINT)), "
+    "lambda x, y: list_reduce(list_concat([xor(x, y)], range(0, 8)), lambda z, k: xor(z >> 1, CASE WHEN z % 2 = 1 THEN 3988292384 ELSE 0 END))))"
+)
+SQL = _sql()

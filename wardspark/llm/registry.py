@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL, "op8_simhash": simhash.SQL, "op10_mixing": mixing.SQL}
+ORACLES = {"op1_katz": katz.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL, "op8_simhash": simhash.SQL, "op10_mixing": mixing.SQL}
