@@ -148,6 +148,74 @@ def test_quality_gradient():
     assert ((logit > 0) == (y == 1)).mean() > 0.95
 
 
+def differences(loss, values, step=1e-5):
+    """Central differences of a loss over an array that it reads, changed in place."""
+    out = np.zeros(values.size)
+    flat = values.reshape(-1)
+    for i in range(values.size):
+        kept = flat[i]
+        flat[i] = kept + step
+        high = loss()
+        flat[i] = kept - step
+        out[i] = (high - loss()) / (2 * step)
+        flat[i] = kept
+    return out.reshape(values.shape)
+
+
+def test_quality_against_plain_passes():
+    """The forward pass by loops over passages, and the gradient by differences."""
+    rng = np.random.default_rng(7)
+    sizes = [1, 3, 2, 5]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    x, y = rng.normal(size=(first[-1], quality.FEATURES)), np.array([0.0, 1, 1, 0])
+    draw = lambda *shape: rng.normal(0, 0.3, shape)
+    p = {"W": draw(x.shape[1], quality.HIDDEN), "b": draw(quality.HIDDEN), "V": draw(quality.HIDDEN, quality.GATE), "U": draw(quality.HIDDEN, quality.GATE), "w": draw(quality.GATE), "c": draw(quality.HIDDEN), "d": draw(1)}
+    model = quality.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), p)
+    logits = model.forward(x, first)[-1]
+    for k, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
+        hidden = [[math.tanh(sum(v * p["W"][f, j] for f, v in enumerate(row)) + p["b"][j]) for j in range(quality.HIDDEN)] for row in x[lo:hi]]
+        gates = []
+        for h in hidden:
+            tanh = [math.tanh(sum(v * p["V"][i, j] for i, v in enumerate(h))) for j in range(quality.GATE)]
+            open_ = [1 / (1 + math.exp(-sum(v * p["U"][i, j] for i, v in enumerate(h)))) for j in range(quality.GATE)]
+            gates.append(math.exp(sum(a * b * c for a, b, c in zip(tanh, open_, p["w"]))))
+        z = [sum(g * h[j] for g, h in zip(gates, hidden)) / sum(gates) for j in range(quality.HIDDEN)]
+        assert logits[k] == pytest.approx(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0])
+    _, grad = quality.loss_and_gradient(model, x, first, y, 0.01)
+    for name in p:
+        assert np.allclose(grad[name], differences(lambda: quality.loss_and_gradient(model, x, first, y, 0.01)[0], p[name]), atol=1e-7)
+
+
+def test_passage_features_by_hand():
+    """Every passage of a long text counts; hashed sums follow the words, whatever their order."""
+    words = [f"w{i}" for i in range(250)]
+    x, first = quality.passages([" ".join(words), "", "a b A", "b a a"])
+    assert first.tolist() == [0, 3, 4, 5, 6] and not x[3].any()
+    assert np.allclose(x[4, quality.SURFACE :], x[5, quality.SURFACE :]) and np.allclose((x[4, quality.SURFACE :] * 3**0.5).round() % 1, 0)
+    assert x[4, 1] > 0 and x[5, 1] == 0
+
+
+def test_toxicity_against_plain_likelihood():
+    """The likelihood by its formula, and the gradient by differences; thresholds stay in order."""
+    rng = np.random.default_rng(8)
+    k, n = 6, 12
+    row, col = np.nonzero(rng.random((n, k)) < 0.5)
+    grade, p = rng.integers(0, toxicity.GRADES, n), rng.normal(0, 0.5, k + toxicity.GRADES - 1)
+    loss, grad = toxicity.loss_and_gradient(p, row, col, grade, 0.1)
+    theta = toxicity.thresholds_of(p, k)
+    assert (np.diff(theta) > 0).all()
+    plain = 0.0
+    for i in range(n):
+        s = sum(p[c] for r, c in zip(row, col) if r == i)
+        below = [0.0, *(1 / (1 + math.exp(s - t)) for t in theta), 1.0]
+        plain -= math.log(below[grade[i] + 1] - below[grade[i]]) / n
+    assert loss == pytest.approx(plain + 0.05 * sum(w * w for w in p[:k]))
+    assert np.allclose(grad, differences(lambda: toxicity.loss_and_gradient(p, row, col, grade, 0.1)[0], p), atol=1e-7)
+    terms = np.arange(100, 100 + k)
+    model = toxicity.Model(terms, p[:k], theta)
+    assert np.allclose(model.grades(np.array([0.3]))[0], np.diff([0.0, *(1 / (1 + np.exp(0.3 - theta))), 1.0]))
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     docs, labels = common.table(spark, SF01, "documents"), common.table(spark, SF01, "labels")
     truth = {r.doc_id: r.toxic for r in labels.collect()}

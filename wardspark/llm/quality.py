@@ -1,8 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of 100 words. Each passage gives shares of byte
-classes, word shapes, stop words and distinct words; a small network encodes it,
-gated attention (tanh times sigmoid) weighs the passages of a document, and the
+classes, word shapes, stop words and distinct words, and its words hashed with signs
+into ``HASHED`` sums; a small network encodes it, gated attention (tanh times sigmoid) weighs the passages of a document, and the
 weighted sum of the encodings is scored. Only documents are labelled; what
 matters inside them is learned.
 
@@ -10,8 +10,12 @@ Fitted on at most ``SAMPLE`` labelled rows whose crc32(doc_id as text) mod 4 is
 not 2, by full-batch Adam on the driver (a few MB of features). Scoring is one
 pass over all rows without a shuffle. Inputs of a score are the text alone.
 
-Null and empty texts are one passage of zeros. Repeated rows get equal scores.
-Without labels of both classes every score is 0.5. Other columns are ignored.
+Null and empty texts are one passage of zeros; of very long texts every passage
+counts. Repeated rows get equal scores; where one id has several rows, the smallest
+text is the one that is learned from, and the smallest label counts. Without labels
+of both classes every score is 0.5, and ``keep_good``, which then has nothing to
+reject by, keeps all. A score that ties with the threshold is good. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,10 @@ _CLASSES = [
     np.isin(_B, list(b"#$%&*@^~<>={}[]\\/_+`")),
     np.isin(_B, [10, 13]),
 ]
-FEATURES = len(_CLASSES) + 7
+#: Sums of hashed words, and how much they weigh beside the surface features.
+HASHED, CONTENT = 64, 0.3
+SURFACE = len(_CLASSES) + 7
+FEATURES = SURFACE + HASHED
 _STOPS = np.sort(lex.hash_of(sorted(w for w in STOP if w.isascii())))
 
 
@@ -75,6 +82,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x[used, k + 4] = per(lens == 1)
     x[used, k + 5] = np.log1p(n) / 5
     x[used, k + 6] = np.log1p(counts[w.doc[heads]]) / 10
+    cell = at * HASHED + (w.hash >> np.uint64(40)).astype(np.int64) % HASHED
+    sums = np.bincount(cell, 1.0 - 2.0 * (w.hash >> np.uint64(63)).astype(float), len(x) * HASHED).reshape(-1, HASHED)
+    x[used, SURFACE:] = sums[used] / np.sqrt(n)[:, None]
     return x, first
 
 
@@ -100,27 +110,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def loss_and_gradient(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, decay: float) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy with an L2 penalty, and its gradient by parameter; x is scaled."""
+    p = model.p
+    doc, h, t, g, a, z, logit = model.forward(x, first)
+    logit = np.clip(logit, -30, 30)
+    loss = float(np.mean(np.logaddexp(0, logit) - y * logit)) + decay / 2 * sum(float((v * v).sum()) for v in p.values())
+    d_logit = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    d_z = d_logit[:, None] * p["c"]
+    d_a = (d_z[doc] * h).sum(1)
+    d_e = a * (d_a - np.add.reduceat(a * d_a, first[:-1])[doc])
+    d_tg = d_e[:, None] * p["w"]
+    d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
+    d_h = (a[:, None] * d_z[doc] + d_t @ p["V"].T + d_g @ p["U"].T) * (1 - h * h)
+    grad = {"W": x.T @ d_h, "b": d_h.sum(0), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_e, "c": z.T @ d_logit, "d": d_logit.sum(keepdims=True)}
+    return loss, {k: v + decay * p[k] for k, v in grad.items()}
+
+
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float = 1e-4, seed: int = 1) -> Model | None:
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
     mean, std = x.mean(0), x.std(0) + 1e-3
+    std[SURFACE:] /= CONTENT
     x = (x - mean) / std
     draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape)
     p = {"W": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1)}
     model, m, v = Model(mean, std, p), {k: 0 * a for k, a in p.items()}, {k: 0 * a for k, a in p.items()}
     for step in range(1, steps + 1):
-        doc, h, t, g, a, z, logit = model.forward(x, first)
-        d_logit = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
-        d_z = d_logit[:, None] * p["c"]
-        d_a = (d_z[doc] * h).sum(1)
-        d_e = a * (d_a - np.add.reduceat(a * d_a, first[:-1])[doc])
-        d_tg = d_e[:, None] * p["w"]
-        d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
-        d_h = (a[:, None] * d_z[doc] + d_t @ p["V"].T + d_g @ p["U"].T) * (1 - h * h)
-        grad = {"W": x.T @ d_h, "b": d_h.sum(0), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_e, "c": z.T @ d_logit, "d": d_logit.sum(keepdims=True)}
+        _, grad = loss_and_gradient(model, x, first, y, decay)
         for k in p:
-            grad[k] = grad[k] + decay * p[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.999 * v[k] + 0.001 * grad[k] ** 2
             p[k] -= 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return model

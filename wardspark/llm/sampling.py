@@ -14,7 +14,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: C
     """(doc_id, text, label) of at most ``most`` labelled ids, the first by hash.
 
     The ids have a proven bound, ``most`` rows, and are broadcast. Of several labels
-    of one id the smallest counts; null ids and labels are no labels.
+    of one id the smallest counts, of several texts of one id the smallest by its
+    bytes; null ids and labels are no labels.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -22,7 +23,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: C
         known = known.filter(where)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return common.texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    return common.texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def gathered(sample: DataFrame, features: Callable, schema: str) -> list:

@@ -12,9 +12,11 @@ text is graded by how many distinct words it holds that are almost only found in
 toxic texts: up to one 1, two 2, more 3.
 
 Fitted on at most ``SAMPLE`` labelled rows on the driver; scoring is one pass
-over all rows and whole texts without a shuffle. Null and empty texts have no
-features and get the base rate. Repeated rows score alike. Without labels of both
-classes, or words to learn from, every severity is 0. Other columns are ignored.
+over all rows and whole texts, however long, without a shuffle. Null and empty texts
+have no features and get the base rate. Repeated rows score alike; where one id has
+several rows, the smallest text is the one that is learned from. Of equally likely
+grades the lowest is given. Without labels of both classes, or words to learn from,
+every severity is 0. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,6 +83,32 @@ def choose(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int) -> tup
     return best, marked
 
 
+def thresholds_of(p: np.ndarray, k: int) -> np.ndarray:
+    return p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))])
+
+
+def loss_and_gradient(p: np.ndarray, row: np.ndarray, col: np.ndarray, grade: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the grades with an L2 penalty on the weights, and its gradient.
+
+    ``p`` has the weights, the first threshold, and the logarithms of the steps to the
+    next ones; (row, col) are the features that texts hold.
+    """
+    k, n = len(p) - GRADES + 1, len(grade)
+    w, rows = p[:k], np.arange(n)
+    s = np.bincount(row, w[col], n)
+    below = 1 / (1 + np.exp(-np.clip(thresholds_of(p, k)[None, :] - s[:, None], -30, 30)))
+    full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
+    slope = full * (1 - full)
+    likely = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-9)
+    up, low = slope[rows, grade + 1] / likely, slope[rows, grade] / likely
+    d_theta = np.zeros(GRADES - 1)
+    for j in range(GRADES - 1):
+        d_theta[j] = (-up[grade == j].sum() + low[grade == j + 1].sum()) / n
+    d_steps = np.array([d_theta[j:].sum() for j in range(1, GRADES - 1)]) * np.exp(p[k + 1 :])
+    loss = -float(np.log(likely).mean()) + decay / 2 * float(w @ w)
+    return loss, np.concatenate([np.bincount(col, ((up - low) / n)[row], k) + decay * w, [d_theta.sum()], d_steps])
+
+
 def fit(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float = 2e-4) -> Model | None:
     """``docs`` and ``terms`` are the pairs of features(); ``y`` is 0 or 1 by document."""
     if not len(y) or y.min() == y.max():
@@ -108,23 +136,11 @@ def fit(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, steps: int = STEPS,
     start = np.maximum.accumulate(np.log(share / (1 - share)) + 0.01 * np.arange(GRADES - 1))
     p = np.concatenate([np.zeros(len(best)), [start[0]], np.log(np.maximum(np.diff(start), 0.05))])
     m, v, k = 0 * p, 0 * p, len(best)
-    rows = np.arange(len(y))
     for step in range(1, steps + 1):
-        w, theta = p[:k], p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))])
-        s = np.bincount(row, w[col], len(y))
-        below = 1 / (1 + np.exp(-np.clip(theta[None, :] - s[:, None], -30, 30)))
-        full = np.concatenate([np.zeros((len(y), 1)), below, np.ones((len(y), 1))], 1)
-        slope = full * (1 - full)
-        likely = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-9)
-        up, low = slope[rows, grade + 1] / likely, slope[rows, grade] / likely
-        d_theta = np.zeros(GRADES - 1)
-        for j in range(GRADES - 1):
-            d_theta[j] = (-up[grade == j].sum() + low[grade == j + 1].sum()) / len(y)
-        d_steps = np.array([d_theta[j:].sum() for j in range(1, GRADES - 1)]) * np.exp(p[k + 1 :])
-        grad = np.concatenate([np.bincount(col, ((up - low) / len(y))[row], k) + decay * w, [d_theta.sum()], d_steps])
+        _, grad = loss_and_gradient(p, row, col, grade, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(known[best], p[:k], p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]))
+    return Model(known[best], p[:k], thresholds_of(p, k))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
