@@ -20,18 +20,43 @@ def test_exact_dedup_equals_sql(spark):
     assert got == want
 
 
-def test_exact_dedup_odd_rows(spark, odd_docs, no_docs):
-    rows = [(r.doc_id, r.text or "") for r in odd_docs.collect()]
+def _dedup_want(rows):
     want = []
-    for i, t in rows:
-        ids = [j for j, u in rows if u == t]
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    for i, text in rows:
+        ids = groups[text]
         keep = max((j for j in ids if j is not None), default=None)
-        want.append((i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()))
+        want.append((i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(want, key=repr)
+
+
+def test_exact_dedup_odd_rows(spark, odd_docs, no_docs):
     got = [tuple(r) for r in exact_dedup.dedup(odd_docs, capacity=64).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sorted(got, key=repr) == _dedup_want([(r.doc_id, r.text or "") for r in odd_docs.collect()])
     assert exact_dedup.dedup(no_docs).count() == 0
 
 
+def test_exact_dedup_index(spark, tmp_path):
+    """Owners have ranges of the hash, buckets their folders; a hot text is one entry a task, and the index answers by its directory."""
+    rows = [(i, "the same text" if i % 3 else f"text {i % 500}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup.dedup(docs, capacity=200, folder=str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == _dedup_want(rows)
+    index = exact_dedup.read_index(spark, str(tmp_path)).collect()
+    assert len(index) == len({t for _, t in rows}) and {r.n for r in index if r.n > 100} == {2000}
+    places = sorted(spark.read.parquet(str(tmp_path / "directory")).collect(), key=lambda r: r["first"])
+    assert [p["first"] for p in places] == [0, *(p["last"] + 1 for p in places[:-1])] and places[-1]["last"] == 65535
+    owners = [p.owner for p in places]
+    assert len(set(owners)) > 3 and len([1 for a, b in zip(owners, owners[1:]) if a != b]) == len(set(owners)) - 1
+    of = {p.bucket: p for p in places}
+    assert all(of[r.bucket]["first"] <= (r.h % 2**64) >> 48 <= of[r.bucket]["last"] for r in index)
+    assert len(list((tmp_path / "index").glob("bucket=*"))) == len({r.bucket for r in index})
+    asked = spark.createDataFrame([(1, "the same text"), (2, "no such text"), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.lookup(asked, str(tmp_path)).collect())) == [(1, 2999, 2000), (2, None, 0), (3, None, 0)]
+
+
 def test_directory_splits_overfull_buckets():
     loads = np.zeros(16, np.int64)
     loads[[0, 1, 5, 6]] = [10, 10, 3, 3]
@@ -40,14 +65,19 @@ def test_directory_splits_overfull_buckets():
     assert set(exact_dedup.directory(loads, 100)) == {0}
 
 
-def test_colliding_hashes_are_chained(spark, monkeypatch):
-    """All texts in one hash: the chain still tells them apart."""
-    batch = exact_dedup.pa.record_batch(
-        [exact_dedup.pa.array(c) for c in ([0] * 3, [7] * 3, ["x", "y", "x"], [b"a", b"b", b"a"], [5, 4, 3], [1, 1, 1], [[5], [4], [3]])],
-        names=["bucket", "h", "sha", "text", "top", "n", "ids"],
-    )
+def test_colliding_hashes_are_chained():
+    """All texts in one hash: the chain still tells them apart; one digest for two texts is an error."""
+    columns = [[0] * 3, [7] * 3, [b"x", b"y", b"x"], [b"b", b"a", b"b"], [3, 4, 5], [1, 1, 2]]
+    batch = exact_dedup.pa.record_batch(columns_of(columns), names=["bucket", "h", "sha", "text", "top", "n"])
     (out,) = exact_dedup._own(iter([batch]))
-    assert out.column("chain").to_pylist() == [0, 1, 0] and out.column("keep_id").to_pylist() == [5, 4, 5]
+    assert [(r["chain"], r["sha"], r["keep_id"], r["n"]) for r in out.to_pylist()] == [(0, b"y", 4, 1), (1, b"x", 5, 3)]
+    columns[2] = [b"x"] * 3
+    with pytest.raises(ValueError, match="SHA-256"):
+        list(exact_dedup._own(iter([exact_dedup.pa.record_batch(columns_of(columns), names=batch.schema.names)])))
+
+
+def columns_of(columns):
+    return [exact_dedup.pa.array(c) for c in columns]
 
 
 def _warc_want(rows, least):

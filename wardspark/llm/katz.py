@@ -213,13 +213,6 @@ def joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
 
 
-def owner_keys(spark: SparkSession, n: int) -> list[int]:
-    """For every partition of repartition(n, key) an integer key that goes to it."""
-    rows = spark.range(0, 24 * n + 64).select(F.col("id").cast("int").alias("k"))
-    found = rows.groupBy(F.pmod(F.hash("k"), F.lit(n))).agg(F.min("k").alias("k")).collect()
-    return sorted(r.k for r in found)
-
-
 def _numbered(row: dict, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all tokens with an end after every text, document of each)."""
     lengths = np.array(row["lengths"], np.int64)
@@ -586,7 +579,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, folder: str | None = Non
     numbers = each.join(vocab.select("word", "gid"), "word", "left").select("chunk", "pos", "gid")
     numbers = numbers.repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk", "pos")
     numbers.mapInArrow(_write_numbers(folder), "done int").write.mode("overwrite").parquet(f"{folder}/numbered")
-    owners = owner_keys(spark, common.partitions(spark))
+    owners = common.owner_keys(spark, common.partitions(spark))
     # middle words with more than half an owner's share of all tokens; word numbers rise as counts fall
     limit = uni.n / (2 * len(owners))
     hot = 1 + sum(r.n for r in steps if r.c > limit)
