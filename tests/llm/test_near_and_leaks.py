@@ -247,6 +247,31 @@ def test_repeated_lines_do_not_decide(spark):
     assert got == _similar_classes(rows) and len(set(got.values())) == 7
 
 
+def test_large_groups_in_blocks(spark):
+    """A group cut into many blocks has the classes of all pairs: around one text, in a chain, and of two kinds that only candidates connect."""
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, rows = words(60), []
+    for _ in range(80):  # around one text
+        w = base[:]
+        w[rng.randrange(60)] = "other"
+        rows.append(w)
+    chain = words(60)
+    for _ in range(40):  # each like the one before only
+        chain = chain[3:] + words(3)
+        rows.append(chain)
+    half = words(40)
+    rows += [half + words(20) for _ in range(30)] + [base[:45] + words(15) for _ in range(30)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900, rows and " ".join(rows[0])), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _similar_classes(rows)
+    assert len(set(want.values())) < len(rows) / 2
+    for most in (near_dups.BLOCK, 6000, 1500):
+        got = {r.doc_id: r.component_id for r in near_dups.classes(docs, 200, most).collect()}  # 200 bits: far more candidates than links
+        assert got == want
+
+
 def test_similarity_decides_at_the_threshold(spark):
     """Pairs of 0.8 and just above are joined and those just below are not, short texts included."""
     rng = random.Random(8)

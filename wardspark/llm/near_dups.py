@@ -16,9 +16,13 @@ similarity 0.8 have one of the first fifth of either set, in the order of the
 hashes, in common. Large groups give the links of a spanning forest instead of
 pairs; none is capped.
 
-What candidates connect comes together, one text a node with its set, and is
-divided again by the similarity of the sets: only links of ``SIMILARITY`` or more
-make classes.
+What candidates connect is divided again by the similarity of the sets, one text a
+node: only links of ``SIMILARITY`` or more make classes. It comes together in one
+task up to ``BLOCK`` bytes of sets; beyond, it is cut into blocks of that size, which
+are divided each. Then a few members of the largest classes are compared with all
+blocks, which joins what a large group of copies fell into; and whatever is still
+outside the largest class of its group is compared with all blocks, too. So every
+pair is compared or known to be connected, and no task holds more than two blocks.
 
 Texts of equal sets are one node, so copies cost nothing. Null text is empty;
 texts without words are all alike. Very long texts are taken whole. Repeated rows
@@ -41,6 +45,7 @@ from wardspark.llm import common, simhash
 
 SHINGLE, LANES, SEED, LARGE = 5, 8, 42, 256
 SIMILARITY, REACH, SHORT = 0.8, 110, 24
+BLOCK, SPEAKERS = 32 << 20, 8
 #: Bits of the segments, 23 each: all in order, then shuffled.
 ORDER = np.concatenate([np.arange(22 * 23), np.random.default_rng(7).permutation(512)[: 22 * 23]])
 SEGMENTS = len(ORDER) // 23
@@ -93,8 +98,8 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide, nodes = wide_of(sets), [node_of(x) for x in sets]
         few = [x.tobytes() if len(x) <= SHORT else b"" for x in sets]
         at = [known[t] for t in texts]
-        cols = [pa.array([nodes[i] for i in at], pa.int64()), pa.array([wide[i].tobytes() for i in at], pa.binary()), pa.array([few[i] for i in at], pa.binary())]
-        yield pa.record_batch([part.column("doc_id"), *cols], names=["doc_id", "node", "wide", "few"])
+        cols = [pa.array([nodes[i] for i in at], pa.int64()), pa.array([wide[i].tobytes() for i in at], pa.binary()), pa.array([few[i] for i in at], pa.binary()), pa.array([sets[i].nbytes for i in at], pa.int64())]
+        yield pa.record_batch([part.column("doc_id"), *cols], names=["doc_id", "node", "wide", "few", "size"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +265,7 @@ def divided(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarra
     return root
 
 
-def _grouped(key: str, made: str):
+def _grouped(key: list[str], made: str):
     """For each whole group of rows, sorted by ``key``: links of its nodes by the similarity of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +282,7 @@ def _grouped(key: str, made: str):
                 yield pa.record_batch([pa.array(nodes[rest]), pa.array(nodes[root[rest]])], names=["u", "v"])
 
         for batch in batches:
-            for k, n, x in zip(*[batch.column(c).to_pylist() for c in (key, "node", made)], strict=True):
+            for *k, n, x in zip(*[batch.column(c).to_pylist() for c in (*key, "node", made)], strict=True):
                 if k != now:
                     yield from flush()
                     now, held = k, {}
@@ -291,23 +296,137 @@ def short_links(nodes: DataFrame) -> DataFrame:
     """(u, v) that connect all texts of few shingles of ``SIMILARITY`` or more."""
     rows = nodes.filter("few <> X''").select("node", "few").mapInArrow(_first_shingles, "key long, node long, few binary")
     met = rows.repartition(common.partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
-    return met.mapInArrow(_grouped("key", "few"), "u long, v long").distinct()
+    return met.mapInArrow(_grouped(["key"], "few"), "u long, v long").distinct()
+
+
+# ---- groups of many blocks ---------------------------------------------------------------
+class Sets:
+    """An index of sets that finds those of ``SIMILARITY`` or more to another one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets])
+        self.terms, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(at, kind="stable")]
+        self.start = np.append(0, np.cumsum(np.bincount(at, minlength=len(self.terms))))
+
+    def near(self, x: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+        if not len(self.terms) or not len(x):
+            return np.flatnonzero(self.sizes == 0) if not len(x) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, x), len(self.terms) - 1)
+        held = np.where(self.terms[at] == x, self.start[at + 1] - self.start[at], 0)
+        # one that is as similar has one of any so many of the shingles: those that the fewest have
+        some = np.argsort(held, kind="stable")[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
+        met = [self.holders[self.start[t] : self.start[t + 1]] for t in at[some][held[some] > 0]]
+        found = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        found = found[np.minimum(self.sizes[found], len(x)) >= similarity * np.maximum(self.sizes[found], len(x)) - 1e-9]
+        if len(found) > 64:
+            counts = np.bincount(np.concatenate([self.holders[self.start[t] : self.start[t + 1]] for t in at[held > 0]]), minlength=len(self.sets))[found]
+        else:
+            counts = np.array([len(np.intersect1d(x, self.sets[o], assume_unique=True)) for o in found.tolist()], int)
+        return found[counts >= similarity * (len(x) + self.sizes[found] - counts) - 1e-9]
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of rows sorted by (root, block, part, asks), those that are asked first: (u, v) of the classes that similar sets connect."""
+    now, members, index, links = None, [], None, set()
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
+
+    for batch in batches:
+        for *key, asks, top, x in zip(*[batch.column(c).to_pylist() for c in ("root", "block", "part", "asks", "top", "shingles")], strict=True):
+            if key != now:
+                if links:
+                    yield out()
+                now, members, index, links = key, [], None, set()
+            x = np.frombuffer(x, np.uint64)
+            if not asks:
+                members.append((top, x))
+                continue
+            if not members:
+                continue
+            index = index or (np.array([t for t, _ in members]), Sets([y for _, y in members]))
+            for other in np.unique(index[0][index[1].near(x)]).tolist():
+                if other != top:
+                    links.add((max(top, other), min(top, other)))
+    if links:
+        yield out()
+
+
+def asked(blocks: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(u, v) of classes connected by a query and a member of a block of its group.
+
+    blocks: (root, block, blocks, top, shingles); queries: (root, node, top, shingles). Queries of a group come in parts
+    of ``most`` bytes; a part goes to every block of the group and a block to every part.
+    """
+    spark = blocks.sparkSession
+    loads = queries.groupBy("root").agg(F.sum(F.octet_length("shingles")).alias("load"), F.count(F.lit(1)).alias("m"))
+    loads = loads.select("root", F.ceil(F.col("load") / most).cast("int").alias("parts"), "m")
+    many = blocks.groupBy("root").agg(F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("n")).join(loads, "root")
+    n, m = blocks.count(), queries.count()
+    members = common.joined(blocks.drop("blocks"), many.select("root", "parts", "n"), "root", n)
+    members = members.select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "top", "shingles")
+    asking = common.joined(queries, many.select("root", "blocks", "parts", F.col("m").alias("n")), "root", m)
+    asking = asking.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "top", "shingles")
+    both = members.unionByName(asking).repartition(common.partitions(spark), "root", "block", "part").sortWithinPartitions("root", "block", "part", "asks")
+    return both.mapInArrow(_answered, "u long, v long").filter("u <> v").distinct()
+
+
+def across(blocks: DataFrame, own: DataFrame, folder: str, most: int) -> DataFrame:
+    """(u, v) that connect the classes of the blocks of large groups.
+
+    blocks: (root, block, blocks, node, shingles) of groups of several blocks; own: (u, v), the members and first
+    members of the classes inside blocks.
+    """
+
+    def labelled(links: DataFrame, name: str) -> DataFrame:
+        """The members with ``top``, the class that they are in by these links of classes."""
+        tops = simhash.components(links, f"{folder}/{name}").select(F.col("node").alias("first"), F.col("root").alias("top"))
+        return common.saved(firsts.join(tops, "first", "left").withColumn("top", F.coalesce("top", "first")), f"{folder}/{name}-tops")
+
+    first = own.select(F.col("u").alias("node"), F.col("v").alias("first"))
+    firsts = common.saved(blocks.drop("shingles").join(first, "node", "left").withColumn("first", F.coalesce("first", "node")), f"{folder}/firsts")
+    sets = blocks.select("node", "shingles")
+    # the first members of the largest classes of the largest blocks speak for these classes
+    sizes = firsts.groupBy("root", "block", "first").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("root", "block").agg(F.max(F.struct("n", F.col("first").alias("node"))).alias("x"))
+    speakers = largest.groupBy("root").agg(F.slice(F.sort_array(F.collect_list("x"), False), 1, SPEAKERS).alias("xs"))
+    speakers = speakers.select("root", F.explode("xs.node").alias("node")).withColumn("top", F.col("node"))
+    plain = firsts.withColumn("top", F.col("first")).select("root", "block", "blocks", "node", "top").join(sets, "node")
+    spoken = common.saved(asked(plain.drop("node"), speakers.join(sets, "node"), most), f"{folder}/spoken")
+    placed = labelled(spoken, "spoken-classes")
+    # all but the largest class of each group ask every block
+    counts = placed.groupBy("root", "top").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("root").agg(F.max(F.struct("n", "top")).alias("x")).select(F.col("x.top").alias("top"))
+    rest = placed.join(main, "top", "left_anti").select("root", "node", "top").join(sets, "node")
+    whole = placed.select("root", "block", "blocks", "node", "top").join(sets, "node").drop("node")
+    return spoken.unionByName(common.saved(asked(whole, rest, most), f"{folder}/asked"))
 
 
 # ---- classes -----------------------------------------------------------------------------
-def classes(docs: DataFrame, bits: int = REACH) -> DataFrame:
-    """(doc_id, component_id) for every row; the class is named by its smallest id."""
+def classes(docs: DataFrame, bits: int = REACH, most: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) for every row; the class is named by its smallest id. ``most`` is the bytes of sets of a block."""
     folder, parts = common.work_dir(docs.sparkSession, "near"), common.partitions(docs.sparkSession)
     rows = common.texts(docs)
-    fps = common.saved(rows.mapInArrow(_wide, "doc_id long, node long, wide binary, few binary"), f"{folder}/fingerprints")
-    nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("few").alias("few"), F.count(F.lit(1)).alias("n")), f"{folder}/nodes")
+    fps = common.saved(rows.mapInArrow(_wide, "doc_id long, node long, wide binary, few binary, size long"), f"{folder}/fingerprints")
+    nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("few").alias("few"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), f"{folder}/nodes")
     met = simhash.components(links(nodes, bits).unionByName(short_links(nodes)), f"{folder}/met")
+    members = common.saved(nodes.select("node", "least", "size").join(met, "node"), f"{folder}/members")
+    loads = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / most), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    members = common.joined(members, loads, "root", members.count())
+    members = members.select(F.col("node").alias("_node"), "least", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # the set of one row of each node, of those that met any
-    members = nodes.select("node", "least").join(met, "node").select(F.col("node").alias("_node"), "least", "root")
     sets = rows.mapInArrow(_sets, "doc_id long, node long, shingles binary")
-    chosen = sets.join(members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "node", "shingles")
-    kept = chosen.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(_grouped("root", "shingles"), "u long, v long")
-    roots = common.saved(kept.select(F.col("u").alias("node"), F.col("v").alias("root")), f"{folder}/roots")
+    chosen = sets.join(members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    chosen = common.saved(chosen.dropDuplicates(["node"]).select("root", "block", "blocks", "node", "shingles"), f"{folder}/sets")
+    blocks = chosen.repartition(parts, "root", "block").sortWithinPartitions("root", "block")
+    own = common.saved(blocks.mapInArrow(_grouped(["root", "block"], "shingles"), "u long, v long"), f"{folder}/own")
+    roots = own.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    large = chosen.filter("blocks > 1")
+    if not large.isEmpty():
+        small = own.join(large.select(F.col("node").alias("u")), "u", "left_anti").select(F.col("u").alias("node"), F.col("v").alias("root"))
+        met = own.join(large.select(F.col("node").alias("u")), "u", "left_semi").unionByName(across(large, own, folder, most))
+        roots = small.unionByName(common.saved(simhash.components(met, f"{folder}/large"), f"{folder}/large-roots"))
     return simhash.named(fps.select("doc_id", "node"), nodes.select("node", "least", "n"), roots, "node", folder).drop("node")
 
 
