@@ -7,6 +7,10 @@ starts from a table, whatever happened to executors before.
 
 Labels and the benchmark are read from ``sf_dir``. What SQL cannot express (a
 fitted model, latent vectors) is tested against brute force in tests/llm.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows
+and columns of any name, which it hands on as they are; an empty table gives an empty
+one. Stages that go by ids keep or drop the rows of one id together, null ids too.
 """
 
 from __future__ import annotations
@@ -17,27 +21,27 @@ from wardspark.llm import common, decontam, mixing, near_dups, quality, token_co
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at its threshold or above."""
+    """Documents that the quality classifier scores at its threshold or above; all, if no labels of both classes are there to fit it."""
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of texts of similarity 0.8 or more."""
+    """One document, that of the smallest id, of each class of texts of similarity 0.8 or more; texts without words are one class."""
     return near_dups.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; all, if that is empty."""
     return decontam.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities raked to the target marginals."""
+    """Documents drawn with probabilities raked to the target marginals; those without words are kept."""
     return mixing.keep_selected(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the kept documents; their table as read back."""
+    """Token files of the kept documents, in order of id; their table (doc_id, start, n_tokens, ids_crc32) as read back."""
     folder = common.work_dir(spark, "tokens")
     return token_codes.read(token_codes.write(docs, folder, token_codes.vocabulary()), folder)
 
