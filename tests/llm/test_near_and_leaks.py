@@ -139,6 +139,14 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontam.keep_clean(docs, bench).count() == sum(not x for x in want.values())
 
 
+def test_benchmark_in_parts(spark):
+    """A benchmark of more items than go to a task at once gives the same verdicts."""
+    docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
+    whole = sorted((r.doc_id, r.contaminated) for r in decontam.judged(docs, bench).collect())
+    most = bench.count() // 3 + 1
+    assert sorted((r.doc_id, r.contaminated) for r in decontam.judged(docs, bench, most).collect()) == whole and any(x for _, x in whole)
+
+
 def test_paraphrase_is_found(spark):
     """An item with words dropped and words put in is still found; a shuffled one is not."""
     rng = random.Random(4)

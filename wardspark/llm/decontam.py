@@ -21,11 +21,16 @@ words) is found in order to ``ANSWER_SHARE``. Words outside the benchmark's
 vocabulary cannot be part of it, so the numbers are all it needs.
 
 The benchmark is the stated query set: its vocabulary, vectors and items go to
-every task; documents stay where they are: no shuffle of texts, no pairs kept.
+every task, ``ITEMS`` items at a time; documents stay where they are: no shuffle of
+texts, no pairs kept. A larger benchmark is judged in parts of that size, and the
+worst verdict of a row counts.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case.
-Null text is empty and clean, as are items without words. Repeated rows are
-judged each. An empty benchmark leaves all clean. Other columns are ignored.
+Null text is empty and clean, as are items without words. Very long texts are judged
+window by window to their end. Repeated rows are judged each; of items that a row
+holds equally one is named.
+An empty benchmark leaves all clean, empty documents give an empty result. Other
+columns are ignored. ``keep_clean`` goes by ids: rows of one id stay or go together.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ BLOCK, RANK, EXTRA, SEED = 16, 96, 8, 11
 MAX_SHARE, COSINE, LCS, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.01, 0.5, 0.8, 0.6, 8, 0.75
 #: Share of an item's words that the exact search asks for among its rarest words.
 SHARED = 0.2
+#: Items of the benchmark that go to a task at once.
+ITEMS = 50_000
 RESULT = "doc_id long, contaminated boolean, item_id long, lcs_share double, answer_share double, cosine double"
 
 
@@ -197,28 +204,46 @@ def _products(space: Space, square: bool):
             rows, scale = space.rows(s)
             out = out + ((rows.T @ rows).astype(np.float64) if square else space.back(s, rows, scale))
         if not isinstance(out, float):
-            starts = range(0, len(out), STRIP)
-            data = [np.ascontiguousarray(out[at : at + STRIP], "<f8").tobytes() for at in starts]
-            yield pa.record_batch([pa.array(list(starts), pa.int64()), pa.array(data, pa.binary())], names=["strip", "data"])
+            made = []
+            for at in range(0, len(out), STRIP):
+                strip = out[at : at + STRIP]
+                used = np.flatnonzero(strip.any(1))
+                if len(used):
+                    made.append((at, used.astype("<u2").tobytes(), np.ascontiguousarray(strip[used], "<f8").tobytes()))
+            if made:
+                yield _strips(made)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for at, data in zip(b.column("strip").to_pylist(), b.column("data").to_pylist(), strict=True):
-            x = np.frombuffer(data, "<f8")
-            sums[at] = sums[at] + x if at in sums else x
-    yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["strip", "data"])
+#: Rows of a matrix by strips of ``STRIP``: only those that are not zero, with their places inside the strip.
+STRIPS = "strip long, used binary, data binary"
+
+
+def _strips(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["strip", "used", "data"])
+
+
+def _summed(columns: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, used, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                sums.setdefault(at, np.zeros((STRIP, columns)))[np.frombuffer(used, "<u2")] += np.frombuffer(data, "<f8").reshape(-1, columns)
+        if sums:
+            whole = np.arange(STRIP, dtype="<u2").tobytes()
+            yield _strips([(at, whole, x.tobytes()) for at, x in sums.items()])
+
+    return run
 
 
-def _total(parts: DataFrame, columns: int) -> np.ndarray:
-    """The sum of the tasks' matrices: added up by strip on executors, put together on the driver."""
-    spark = parts.sparkSession
-    rows = parts.repartition(common.partitions(spark), "strip").mapInArrow(_summed, "strip long, data binary").collect()
-    rows.sort(key=lambda r: r.strip)
-    return np.concatenate([np.frombuffer(r.data, "<f8").reshape(-1, columns) for r in rows]) if rows else np.zeros((0, columns))
+def _total(parts: DataFrame, size: int, columns: int) -> np.ndarray:
+    """The sum of the tasks' matrices of ``size`` rows: added up by strip on executors, put together on the driver."""
+    spark, out = parts.sparkSession, np.zeros((-(-size // STRIP) * STRIP, columns))
+    for r in parts.repartition(common.partitions(spark), "strip").mapInArrow(_summed(columns), STRIPS).collect():
+        out[r.strip : r.strip + STRIP] = np.frombuffer(r.data, "<f8").reshape(-1, columns)
+    return out[:size]
 
 
 class Rarest:
@@ -301,12 +326,11 @@ def prepared(coded: DataFrame, items: Items, rank: int = RANK, seed: int = SEED)
 
     columns = min(rank + EXTRA, size)
     start = Space(idf, np.random.default_rng(seed).normal(size=(size, columns)))
-    y = _total(coded.mapInArrow(_products(start, False), "strip long, data binary"), columns)
-    y = (y if len(y) else 0.0) + share * start.back(own, *start.rows(own))
+    y = _total(coded.mapInArrow(_products(start, False), STRIPS), size, columns) + share * start.back(own, *start.rows(own))
     basis = Space(idf, np.linalg.qr(y)[0])
-    small = _total(coded.mapInArrow(_products(basis, True), "strip long, data binary"), columns)
+    small = _total(coded.mapInArrow(_products(basis, True), STRIPS), columns, columns)
     rows = basis.rows(own)[0].astype(np.float64)
-    small = (small if len(small) else 0.0) + share * rows.T @ rows
+    small = small + share * rows.T @ rows
     values, vectors = np.linalg.eigh(small)
     return Ready(items, Space(idf, basis.basis @ vectors[:, np.argsort(-values)[:rank]]), own, found)
 
@@ -380,15 +404,31 @@ def _judge(ready: Ready):
     return run
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """RESULT for every row. The benchmark is the query set: it is read whole, on the driver."""
-    rows = common.texts(docs)
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()
+def judged(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS) -> DataFrame:
+    """RESULT for every row. The benchmark is the query set: ``most`` items at a time are read on the driver."""
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    parts = -(-asked.count() // most)
+    if parts <= 1:
+        return _judged(common.texts(docs), asked.collect())
+    # more items: every part judges the numbered rows, and the worst of their verdicts is each row's
+    rows = common.texts(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = common.saved(rows, common.work_dir(docs.sparkSession, "numbered"))
+    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    order = ["contaminated", "lcs_share", "answer_share", "cosine", "item_id"]
+    found = None
+    for k in range(parts):
+        some = _judged(rows.select(F.col("row").alias("doc_id"), "text"), asked.filter(own == k).collect())
+        found = some if found is None else found.unionByName(some)
+    worst = found.groupBy(F.col("doc_id").alias("row")).agg(F.max(F.struct(*order)).alias("x"))
+    return rows.select("row", "doc_id").join(worst, "row").select("doc_id", *[f"x.{c.split()[0]}" for c in RESULT.split(", ")[1:]])
+
+
+def _judged(rows: DataFrame, asked: list) -> DataFrame:
     items = Items(sorted(asked, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or "")))
     if not items.words:
         none = F.lit(None).cast("long")
         return rows.select("doc_id", F.lit(False).alias("contaminated"), none.alias("item_id"), *[F.lit(0.0).alias(c) for c in ("lcs_share", "answer_share", "cosine")])
-    coded = common.saved(rows.mapInArrow(_coded(items), CODED), common.work_dir(docs.sparkSession, "decontam"))
+    coded = common.saved(rows.mapInArrow(_coded(items), CODED), common.work_dir(rows.sparkSession, "decontam"))
     return coded.mapInArrow(_judge(prepared(coded, items)), RESULT)
 
 
