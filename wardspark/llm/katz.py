@@ -31,8 +31,8 @@ How it runs:
    pairs, and report counts of counts. Pairs of frequent words meet by word and
    range, and are written as files of a range each.
 5. With the discounts known, owners read their parts, make and write the tables of
-   totals and back-off weights, and score their segments from the lowest order
-   up: a partial sum a document. The sums of a slice meet and give the scores.
+   totals and back-off weights (kept to single precision; scores use double), and
+   score their segments from the lowest order up: a partial sum a document. The sums of a slice meet and give the scores.
 
 An owner holds its share of the tokens; more shuffle partitions make shares smaller.
 
@@ -132,7 +132,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(chunks: DataFrame, folder: str) -> DataFrame:
-    """(word, c, gid): training words numbered from 1 by falling count, ties by word."""
+    """(word, c, gid): training words numbered from 1 by falling count, ties by word; kept as ``ranked`` with each part's first number beside it."""
     spark = chunks.sparkSession
     each = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     words = each.filter("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
@@ -143,7 +143,7 @@ def vocabulary(chunks: DataFrame, folder: str) -> DataFrame:
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
         starts.append((r.part, base))
         base += r.n
-    offsets = spark.createDataFrame(starts, "part int, base long")  # a row a partition
+    offsets = common.saved(spark.createDataFrame(starts, "part int, base long").coalesce(1), f"{folder}/ranked_parts")  # a row a partition
     return placed.join(F.broadcast(offsets), "part").select("word", "c", (F.col("at") + F.col("base")).alias("gid"))
 
 
@@ -213,18 +213,19 @@ def joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
 
 
-def _numbered(row: dict, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of all tokens with an end after every text, document of each)."""
+def _ranked_tokens(row: dict, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of all tokens, with an end after every text, among the slice's numbers; these numbers; document of each token)."""
     lengths = np.array(row["lengths"], np.int64)
     # a slice without words has no file of numbers
     local = np.frombuffer(common.read_file(f"{folder}/numbers", f"{row['chunk']}.u4") if lengths.any() else b"", "<u4")
+    numbers, place = np.unique(np.append(local, np.uint32(END)), return_inverse=True)
     tokens = unpack(row["tokens"], "<u4")
     doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-    out = np.full(len(doc), END, np.uint32)
+    out = np.zeros(len(doc), np.int64)  # the end has the smallest number
     is_word = np.ones(len(doc), bool)
     is_word[np.cumsum(lengths + 1) - 1] = False
-    out[is_word] = local[tokens]
-    return out, doc
+    out[is_word] = place[tokens]
+    return out, numbers, doc
 
 
 def _write_numbers(folder: str):
@@ -272,20 +273,21 @@ def _segments(folder: str, owners: list[int], hot: int, most: int = 256 << 20):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in ("chunk", "tokens", "lengths", "held")}
-                c, doc = _numbered(row, folder)
-                b = np.concatenate([[END], c[:-1]])[: len(c)].astype(np.uint32)  # an end stands before every text
-                a = np.concatenate([[END], b[:-1]])[: len(b)]
-                a[np.flatnonzero(np.diff(doc, prepend=-1))] = END
+                c, numbers, doc = _ranked_tokens(row, folder)
+                b = np.concatenate([[0], c[:-1]])[: len(c)]  # an end stands before every text
+                a = np.concatenate([[0], b[:-1]])[: len(b)]
+                a[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
                 train = ~np.array(row["held"], bool)[doc]
-                known = b != UNKNOWN
-                ba, c, doc, train = joint(b[known], a[known]), c[known], doc[known], train[known]
-                order = np.lexsort((c, ba))
-                ba, c, doc, train = ba[order], c[order], doc[order], train[order]
-                heads = np.flatnonzero(np.concatenate([[True], (ba[1:] != ba[:-1]) | (c[1:] != c[:-1])])) if len(c) else np.zeros(0, np.int64)
-                if not len(heads):
+                known = numbers[b] != UNKNOWN
+                if not known.any():
                     continue
+                a, b, c, doc, train = (x[known] for x in (a, b, c, doc, train))
+                bits = int(len(numbers)).bit_length()  # places sort like numbers, and three of them fit into 63 bits but for slices of very long texts
+                order = np.argsort((b << (2 * bits)) | (a << bits) | c) if 3 * bits < 64 else np.lexsort((c, a, b))
+                a, b, c, doc, train = (x[order] for x in (a, b, c, doc, train))
+                heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
                 reps = np.diff(np.append(heads, len(c)))
-                trained, ba, c = np.add.reduceat(train.astype(np.int64), heads), ba[heads], c[heads]
+                trained, ba, c = np.add.reduceat(train.astype(np.int64), heads), joint(numbers[b[heads]], numbers[a[heads]]), numbers[c[heads]]
                 b = ba >> np.uint64(32)
                 owner = (mix(np.where(b < hot, ba, b)) % np.uint64(len(owners))).astype(np.int32)
                 by = np.argsort(owner, kind="stable")
@@ -329,18 +331,24 @@ def _owned(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[int
 # ---- 4. counts ---------------------------------------------------------------------------
 def summed(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (high, low) in order, with the sums of their counts."""
-    order = np.lexsort((low, high))
-    high, low, counts = high[order], low[order], counts[order].astype(np.int64)
     if not len(high):
-        return high, low, counts
-    heads = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-    return high[heads], low[heads], np.add.reduceat(counts, heads)
+        return high, low, counts.astype(np.int64)
+    distinct, place = np.unique(high, return_inverse=True)
+    key = joint(place, low)
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return distinct[(key[heads] >> np.uint64(32)).astype(np.int64)], key[heads].astype(low.dtype), np.add.reduceat(counts[order].astype(np.int64), heads)
+
+
+#: First words rise inside a middle word: steps are shorter. Counts and middle words repeat: Parquet's dictionaries.
+ENCODED = {"a": "DELTA_BINARY_PACKED", "c": "BYTE_STREAM_SPLIT", "alpha": "BYTE_STREAM_SPLIT"}
 
 
 def _table(**columns: np.ndarray) -> bytes:
     sink = io.BytesIO()
-    whole = {k: "BYTE_STREAM_SPLIT" for k, v in columns.items() if v.dtype != np.uint32 or k == "c"}
-    pq.write_table(pa.table(columns), sink, compression="zstd", use_dictionary=[k for k in columns if k not in whole], column_encoding=whole)
+    coded = {k: v for k, v in ENCODED.items() if k in columns}
+    pq.write_table(pa.table(columns), sink, compression="zstd", use_dictionary=[k for k in columns if k not in coded], column_encoding=coded)
     return sink.getvalue()
 
 
@@ -439,9 +447,11 @@ class Order:
 
     def probability(self, history: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """P(word | history), given that of the lower order."""
-        if not len(self.histories):
+        if not len(self.histories) or not len(history):
             return lower
-        at = np.minimum(np.searchsorted(self.histories, history), len(self.histories) - 1)
+        heads = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))  # rows of a history stand together
+        at = np.minimum(np.searchsorted(self.histories, history[heads]), len(self.histories) - 1)
+        at = np.repeat(at, np.diff(np.append(heads, len(history))))
         known = self.histories[at] == history
         event = joint(at, word)
         place = np.minimum(np.searchsorted(self.events, event), len(self.events) - 1)
@@ -461,25 +471,25 @@ class Pairs:
         self.order = Order(b.astype(np.uint64), c, n.astype(np.int64), uni.probability(c.astype(np.int64)), d)
         self.folder, self.uni, self.d, self.hot = folder, uni, d, hot
 
-    def probability(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Of rows sorted by b."""
+    def probability(self, keys: np.ndarray) -> np.ndarray:
+        """Of distinct pairs (b and c joint), in order: each file is read once, and one at a time."""
+        b, c = keys >> np.uint64(32), keys.astype(np.uint32)
         lower = self.uni.probability(c.astype(np.int64))
         out = self.order.probability(b, c, lower)
         for word, (total, alpha, spans) in self.hot.items():
-            x, y = np.searchsorted(b, np.array([word, word + 1], b.dtype))
+            x, y = np.searchsorted(keys, np.array([word << 32, (word + 1) << 32], np.uint64))
             if x == y:
                 continue
             out[x:y] = alpha * lower[x:y]
-            span = c[x:y] >> np.uint32(SPAN)
             for s in spans:
-                mine = x + np.flatnonzero(span == s)
-                if not len(mine):
+                lo, hi = x + np.searchsorted(c[x:y] >> np.uint32(SPAN), np.array([s, s + 1], np.uint32))
+                if lo == hi:
                     continue
                 table = pq.read_table(io.BytesIO(common.read_file(f"{self.folder}/frequent/word={word}", f"{s}.parquet")))
                 words, n = (table.column(k).to_numpy() for k in ("c", "n"))
-                at = np.minimum(np.searchsorted(words, c[mine]), len(words) - 1)
-                seen = words[at] == c[mine]
-                out[mine[seen]] = discounted(n[at[seen]], self.d) / total
+                at = np.minimum(np.searchsorted(words, c[lo:hi]), len(words) - 1)
+                seen = words[at] == c[lo:hi]
+                out[lo + np.flatnonzero(seen)] = discounted(n[at[seen]], self.d) / total
         return out
 
 
@@ -489,16 +499,18 @@ def _score(folder: str, uni: Unigrams, d2: np.ndarray, d3: np.ndarray, hot: dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, segments in _owned(batches, folder):
             pairs = Pairs(folder, owner, uni, d2, hot)
+            asked, place = np.unique(joint(np.concatenate([s[1] for s in segments]) >> np.uint64(32), np.concatenate([s[2] for s in segments])), return_inverse=True)
+            of_pairs = pairs.probability(asked)
             a, b, c, n = _read_table(f"{folder}/triples", owner)
-            ba = joint(b, a)
-            triples = Order(ba, c, n.astype(np.int64), pairs.probability(b.astype(np.uint64), c), d3)
+            triples = Order(joint(b, a), c, n.astype(np.int64), of_pairs[np.searchsorted(asked, joint(b, c))], d3)
             known, top = pairs.order, triples.histories
-            common.write_file(f"{folder}/backoff2/owner={owner}", "part.parquet", _table(b=known.histories.astype(np.uint32), total=known.total, alpha=known.alpha))
-            common.write_file(f"{folder}/backoff3/owner={owner}", "part.parquet", _table(a=top.astype(np.uint32), b=(top >> np.uint64(32)).astype(np.uint32), total=triples.total, alpha=triples.alpha))
+            common.write_file(f"{folder}/backoff2/owner={owner}", "part.parquet", _table(b=known.histories.astype(np.uint32), total=known.total, alpha=known.alpha.astype(np.float32)))
+            common.write_file(f"{folder}/backoff3/owner={owner}", "part.parquet", _table(a=top.astype(np.uint32), b=(top >> np.uint64(32)).astype(np.uint32), total=triples.total, alpha=triples.alpha.astype(np.float32)))
+            at = 0
             for chunk, ba, c, _, reps, docs in segments:
-                b = ba >> np.uint64(32)
-                p = uni.probability(c.astype(np.int64)) if order == 1 else pairs.probability(b, c)
+                p = uni.probability(c.astype(np.int64)) if order == 1 else of_pairs[place[at : at + len(c)]]
                 p = triples.probability(ba, c, p) if order == 3 else p
+                at += len(c)
                 sums = np.bincount(docs, np.repeat(np.log10(p), reps))
                 used = np.flatnonzero(sums)
                 yield _part(chunk, 1, at=used.astype(np.int32), value=sums[used])
@@ -522,12 +534,13 @@ def _stats(folder: str, uni: Unigrams):
         for b in batches:
             for i in range(b.num_rows):
                 row = {k: b.column(k)[i].as_py() for k in ("chunk", "tokens", "lengths", "held", "doc_ids")}
-                word, doc = _numbered(row, folder)
-                n, gid = len(row["doc_ids"]), word.astype(np.int64)
+                at, numbers, doc = _ranked_tokens(row, folder)
+                n, gid = len(row["doc_ids"]), numbers.astype(np.int64)
                 c = uni.count(gid)
-                base = np.bincount(doc, np.log10((c + 1) / (uni.n + uni.distinct + 1)), n)
-                lost = np.concatenate([[END], word[:-1]]) == UNKNOWN
-                plain = np.bincount(doc[lost], np.log10(uni.probability(gid[lost])), n)
+                base = np.bincount(doc, np.log10((c + 1) / (uni.n + uni.distinct + 1))[at], n)
+                lost = np.flatnonzero(numbers[np.concatenate([[0], at[:-1]])] == UNKNOWN)
+                plain = np.bincount(doc[lost], np.log10(uni.probability(gid))[at[lost]], n)
+                c = c[at]
                 yield _part(row["chunk"], 0, doc_ids=row["doc_ids"], held=row["held"], n_tokens=np.bincount(doc, minlength=n), n_known=np.bincount(doc[c > 0], minlength=n), base=base, at=np.arange(n, dtype=np.int32), value=plain)
 
     return run
@@ -567,7 +580,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, folder: str | None = Non
     spark = docs.sparkSession
     folder = folder or common.work_dir(spark, "katz")
     chunks = common.saved(common.texts(docs).mapInArrow(_chunks(mod, rest), CHUNK), f"{folder}/chunks")
-    vocab = common.saved(vocabulary(chunks, folder), f"{folder}/vocabulary")
+    vocab = vocabulary(chunks, folder)
     steps = vocab.groupBy("c").agg(F.min("gid").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # at most sqrt(2N) rows
     steps.sort(key=lambda r: r.first)
     words = sum(r.n for r in steps)
