@@ -38,7 +38,7 @@ def plain_katz(rows, order=3):
     for _, held, w in docs:
         if not held:
             for h2, h1, x in zip([None, None, *w], [None, *w], w):
-                for h in ((), (h1,), (h2, h1)):
+                for h in ((), (h1,), (h2, h1)) if h1 is not None else ((), (h1,)):
                     after[h][x] += 1
     uni = after[()]
     big, v = sum(uni.values()), len(uni)
@@ -111,7 +111,7 @@ def test_katz_frequent_words_and_many_slices(spark, tmp_path, monkeypatch):
     frequent = {f.parent.name for f in tmp_path.glob("frequent/*/*.parquet")}
     assert len(frequent) >= 3 and len(list(tmp_path.glob("triples/*"))) > 10
     n = sum(r.n for r in spark.read.parquet(str(tmp_path / "triples")).groupBy("b").agg(F.sum("n").alias("n")).collect())
-    assert n == sum(len(t.split()) + 1 for i, t in rows if common.crc_of(i) % 7 != 2)
+    assert n == sum(len(t.split()) for i, t in rows if common.crc_of(i) % 7 != 2)  # the first token of a text has no two words before it
 
 
 def test_katz_equals_sql(spark):

@@ -12,7 +12,8 @@ order for itself, and h' the history h without its first word:
 alpha(h) is what the seen words leave, over the mass that the lower order leaves
 to words not seen after h: both sums are taken over all words seen after h, so
 each distribution sums to 1. A history whose counts are all too high to be
-discounted counts one more event. Before the first word of a text stand ends.
+discounted counts one more event. Before the first word of a text stands one end,
+which is all of that word's history.
 
 How it runs:
 1. Each slice of documents becomes a row: its distinct words, and its tokens as
@@ -26,7 +27,8 @@ How it runs:
    orders and their sums are local. Each task writes the triples of its slices,
    with their documents, to one file in segments by owner; a table lists them.
    Middle words so frequent that they would fill an owner (at most twice as many
-   as owners) are dealt by the first word too; their pairs alone are spread.
+   as owners) are dealt by the first word too, and first words of texts by
+   themselves; their pairs alone are spread. The rows of one history are not.
 4. Owners add up their segments, write their part of the tables of triples and
    pairs, and report counts of counts. Pairs of frequent words meet by word and
    range, and are written as files of a range each.
@@ -289,7 +291,7 @@ def _segments(folder: str, owners: list[int], hot: int, most: int = 256 << 20):
                 reps = np.diff(np.append(heads, len(c)))
                 trained, ba, c = np.add.reduceat(train.astype(np.int64), heads), joint(numbers[b[heads]], numbers[a[heads]]), numbers[c[heads]]
                 b = ba >> np.uint64(32)
-                owner = (mix(np.where(b < hot, ba, b)) % np.uint64(len(owners))).astype(np.int32)
+                owner = (mix(np.where(b == END, c, np.where(b < hot, ba, b))) % np.uint64(len(owners))).astype(np.int32)
                 by = np.argsort(owner, kind="stable")
                 cuts = np.searchsorted(owner[by], np.arange(len(owners) + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
@@ -377,9 +379,10 @@ def _count(folder: str, hot: int):
             ba, c, n = (np.concatenate([s[k] for s in segments]) for k in (1, 2, 3))
             ba, c, n = summed(ba[n > 0], c[n > 0], n[n > 0])
             b = (ba >> np.uint64(32)).astype(np.uint32)
+            inner = b != END
             counts = n.astype(np.uint32) if n.max(initial=0) <= UNKNOWN else n
-            common.write_file(f"{folder}/triples/owner={owner}", "part.parquet", _table(a=ba.astype(np.uint32), b=b, c=c, n=counts))
-            rows = _counts_of_counts(TRIPLES, n)
+            common.write_file(f"{folder}/triples/owner={owner}", "part.parquet", _table(a=ba.astype(np.uint32)[inner], b=b[inner], c=c[inner], n=counts[inner]))
+            rows = _counts_of_counts(TRIPLES, n[inner])
             pb, pc, pn = summed(b, c, n)
             cold = pb >= hot
             common.write_file(f"{folder}/pairs/owner={owner}", "part.parquet", _table(b=pb[cold], c=pc[cold], n=pn[cold]))
@@ -635,7 +638,7 @@ def _sql() -> str:
             f"count(*) FILTER (WHERE n <= {m + 1}) = {m + 1} AS whole FROM seen{k}"
             for m in range(1, DISCOUNTED + 1)
         )
-        orders.append(f"""count{k} AS MATERIALIZED (SELECT {by}, count(*) AS n FROM train GROUP BY ALL),
+        orders.append(f"""count{k} AS MATERIALIZED (SELECT {by}, count(*) AS n FROM train{" WHERE b <> ''" if k == 3 else ""} GROUP BY ALL),
 seen{k} AS MATERIALIZED (SELECT n, count(*) AS m FROM count{k} GROUP BY n),
 cuts{k} AS ({cuts}),
 factors{k} AS (SELECT k, s.n, ((s.n + 1) * t.m / (s.n * s.m)::DOUBLE - cut) / (1 - cut) AS f FROM cuts{k} JOIN seen{k} s ON s.n <= k JOIN seen{k} t ON t.n = s.n + 1 WHERE whole AND cut < 1),
