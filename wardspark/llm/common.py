@@ -28,8 +28,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     here = sc.master.startswith("local")
-    if here:
-        sc.environment.setdefault("PYTHONPATH", ROOT)  # workers started later can import this package
+    if here and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        sc.environment.setdefault("PYTHONPATH", ROOT)  # workers started later can import this package; it makes them other workers
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not here:

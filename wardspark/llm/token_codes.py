@@ -40,14 +40,14 @@ RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 # ---- the code --------------------------------------------------------------
 def encode(ids: np.ndarray) -> bytes:
-    out, rest = [], ids.astype(np.uint64)
+    out, rest = [], ids if ids.dtype in (np.uint32, np.uint64) else ids.astype(np.uint64)
     while True:
-        more = rest >> np.uint64(8)
+        more = rest >> rest.dtype.type(8)
         on = more > 0
         bits = np.packbits(on, bitorder="little")
         blocks = np.add.reduceat(on, np.arange(0, len(on), BLOCK), dtype=np.int64) if len(on) else np.zeros(0, np.int64)
         ranks = np.concatenate([[0], np.cumsum(blocks)]).astype("<u8")
-        out.append(struct.pack("<Q", len(rest)) + (rest & np.uint64(255)).astype(np.uint8).tobytes() + bits.tobytes() + ranks.tobytes())
+        out.append(struct.pack("<Q", len(rest)) + rest.astype(np.uint8).tobytes() + bits.tobytes() + ranks.tobytes())
         rest = more[on]
         if not len(rest):
             break
