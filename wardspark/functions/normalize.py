@@ -30,7 +30,8 @@ def _foreign(text: Column) -> Column:
 
 def _spelled_out(text: Column, many: dict[str, str]) -> Column:
     """Replaces the characters that fold to several; only those that a text holds are looked at."""
-    expand = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    keys, values = (F.split(F.lit("\0".join(x)), "\0") for x in (many.keys(), many.values()))  # a literal map of two literals
+    expand = F.map_from_arrays(keys, values)
     held = F.filter(_foreign(text), lambda ch: (ch != "") & F.contains(F.lit("".join(many)), ch))
     return F.aggregate(held, text, lambda acc, ch: F.replace(acc, ch, expand[ch]))
 
