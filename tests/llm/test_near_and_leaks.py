@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from compare import compare, duck
 
@@ -275,11 +276,29 @@ def test_large_groups_in_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = _similar_classes(rows)
     assert len(set(want.values())) < len(rows) / 2
-    for most in (near_dups.BLOCK, 6000, 1500):
-        got = {r.doc_id: r.component_id for r in near_dups.classes(docs, 200, most).collect()}  # 200 bits: far more candidates than links
+    for most, crowd in ((near_dups.BLOCK, near_dups.CROWD), (6000, near_dups.CROWD), (1500, 20)):
+        got = {r.doc_id: r.component_id for r in near_dups.classes(docs, 200, most, crowd).collect()}  # 200 bits: far more candidates than links
         assert got == want
 
 
+def test_crowds_stream_by():
+    """Groups beyond the limit come out as stars, whole and apart, wherever batches end."""
+    rng = np.random.default_rng(6)
+    keys = np.sort(np.concatenate([np.full(500, 3), np.full(400, 7), rng.integers(0, 12, 60)]).astype(np.int32))
+    nodes, wide = np.arange(len(keys)), rng.integers(0, 2**63, (len(keys), 8)).astype(np.uint64)
+    for size in (1, 7, 50, 2000):
+        batches = [pa.record_batch([pa.array(keys[k : k + size]), pa.array(nodes[k : k + size]), pa.array([x.tobytes() for x in wide[k : k + size]], pa.binary())], names=["key", "node", "wide"]) for k in range(0, len(keys), size)]
+        made = [b for b in near_dups._links(0, 100)(iter(batches))]
+        of = {}
+        for b in made:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                assert keys[u] == keys[v] in (3, 7)
+                of.setdefault(int(keys[u]), {v})
+                of[int(keys[u])].add(u)
+        if size < 2000:  # a batch that holds a group whole is compared instead
+            assert {k: len(x) for k, x in of.items()} == {k: int((keys == k).sum()) for k in (3, 7)}
+
+
 def test_similarity_decides_at_the_threshold(spark):
     """Pairs of 0.8 and just above are joined and those just below are not, short texts included."""
     rng = random.Random(8)

@@ -14,7 +14,9 @@ unrelated ones in 1 of 4096. Rows meet by segment and index. Sets of up to
 ``SHORT`` shingles, whose distances vary most, meet by shingles too: two of
 similarity 0.8 have one of the first fifth of either set, in the order of the
 hashes, in common. Large groups give the links of a spanning forest instead of
-pairs; none is capped.
+pairs; none is capped. A group of over ``CROWD`` texts that is also ``CROWDED`` times
+as large as groups are on average, such as copies of one text, is taken as one
+candidate as it streams by: what does not belong together is divided later.
 
 What candidates connect is divided again by the similarity of the sets, one text a
 node: only links of ``SIMILARITY`` or more make classes. It comes together in one
@@ -46,6 +48,7 @@ from wardspark.llm import common, simhash
 SHINGLE, LANES, SEED, LARGE = 5, 8, 42, 256
 SIMILARITY, REACH, SHORT = 0.8, 110, 24
 BLOCK, SPEAKERS = 32 << 20, 8
+CROWD, CROWDED = 65_536, 16
 #: Bits of the segments, 23 each: all in order, then shuffled.
 ORDER = np.concatenate([np.arange(22 * 23), np.random.default_rng(7).permutation(512)[: 22 * 23]])
 SEGMENTS = len(ORDER) // 23
@@ -173,9 +176,13 @@ def pairs_within(key: np.ndarray, wide: np.ndarray, bits: int) -> Iterator[tuple
         yield ok, ok + k
 
 
-def _links(bits: int):
+def _links(bits: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # all of one key, but for the first batch after a flush
+        crowded, first = None, None  # the key of a crowd that streams by, and its first node
+
+        def star(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch([batch.column("node"), pa.array(np.full(batch.num_rows, first))], names=["u", "v"])
 
         def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows)
@@ -190,6 +197,12 @@ def _links(bits: int):
             if not batch.num_rows:
                 continue
             keys = batch.column("key").to_numpy()
+            if crowded is not None:
+                end = int(np.searchsorted(keys, crowded, "right"))
+                yield star(batch.slice(0, end))
+                if end == len(keys):
+                    continue
+                batch, keys, crowded = batch.slice(end), keys[end:], None
             last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             if last:
                 yield from flush([*held, batch.slice(0, last)])
@@ -199,17 +212,22 @@ def _links(bits: int):
                 held = [batch]
             else:
                 held.append(batch)
+            if sum(b.num_rows for b in held) > crowd and held[0].column("key")[0].as_py() == keys[-1]:
+                crowded, first = int(keys[-1]), held[0].column("node")[0].as_py()
+                yield from map(star, held)
+                held = []
         if held:
             yield from flush(held)
 
     return run
 
 
-def links(nodes: DataFrame, bits: int = REACH) -> DataFrame:
-    """(u, v), u > v, of nodes (node long, wide binary)."""
+def links(nodes: DataFrame, bits: int = REACH, crowd: int = CROWD) -> DataFrame:
+    """(u, v) that connect nodes (node long, wide binary) that are candidates."""
+    crowd = max(crowd, CROWDED * nodes.count() // 4096)
     rows = nodes.select("node", "wide").mapInArrow(_spread, "key int, node long, wide binary")
     met = rows.repartition(common.partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
-    return met.mapInArrow(_links(bits), "u long, v long").filter("u <> v").distinct()
+    return met.mapInArrow(_links(bits, crowd), "u long, v long").filter("u <> v").distinct()
 
 
 # ---- short texts -----------------------------------------------------------------------
@@ -404,13 +422,13 @@ def across(blocks: DataFrame, own: DataFrame, folder: str, most: int) -> DataFra
 
 
 # ---- classes -----------------------------------------------------------------------------
-def classes(docs: DataFrame, bits: int = REACH, most: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for every row; the class is named by its smallest id. ``most`` is the bytes of sets of a block."""
+def classes(docs: DataFrame, bits: int = REACH, most: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) for every row; the class is named by its smallest id. ``most`` is the bytes of sets of a block, ``crowd`` the rows of a large group."""
     folder, parts = common.work_dir(docs.sparkSession, "near"), common.partitions(docs.sparkSession)
     rows = common.texts(docs)
     fps = common.saved(rows.mapInArrow(_wide, "doc_id long, node long, wide binary, few binary, size long"), f"{folder}/fingerprints")
     nodes = common.saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("few").alias("few"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), f"{folder}/nodes")
-    met = simhash.components(links(nodes, bits).unionByName(short_links(nodes)), f"{folder}/met")
+    met = simhash.components(links(nodes, bits, crowd).unionByName(short_links(nodes)), f"{folder}/met")
     members = common.saved(nodes.select("node", "least", "size").join(met, "node"), f"{folder}/members")
     loads = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / most), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     members = common.joined(members, loads, "root", members.count())
