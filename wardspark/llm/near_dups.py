@@ -105,10 +105,46 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("doc_id"), *cols], names=["doc_id", "node", "wide", "few", "size"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in common.slices(batches, most=4 << 20):
-        sets = sets_of(part.column("text").to_pylist())
-        yield pa.record_batch([part.column("doc_id"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "node", "shingles"])
+def _sets(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            some = batch.filter(pa.array(marks.value[place >> 3] >> (place & 7) & 1 > 0))
+            for part in common.slices([some], most=4 << 20):
+                sets = sets_of(part.column("text").to_pylist())
+                yield pa.record_batch([part.column("doc_id"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "node", "shingles"])
+
+    return run
+
+
+#: Marks of ids, by their hash: how many, and how many of them a row has on the way to the driver.
+MARKS, STRETCH = 1 << 24, 1 << 15
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        place = batch.column("place").to_numpy()
+        for k in np.unique(place // STRETCH).tolist():
+            found.setdefault(k, np.zeros(STRETCH, bool))[place[place // STRETCH == k] % STRETCH] = True
+    rows = [(k, np.packbits(x, bitorder="little").tobytes()) for k, x in found.items()]
+    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["stretch", "bits"])
+
+
+def sets_of_some(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, node, shingles) of the rows with these ids and some others: those whose hash is marked among ``MARKS`` bits.
+
+    The marks are 2 MB, whatever the number of ids, and go to every task, so that
+    few sets are made and shuffled; with tens of millions of ids they rule out less.
+    """
+    spark = rows.sparkSession
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("place")
+    places = ids.select(place).distinct().repartition(common.partitions(spark), F.floor(F.col("place") / STRETCH))
+    marks = np.zeros(MARKS // 8, np.uint8)
+    for r in places.mapInArrow(_marked, "stretch long, bits binary").collect():
+        marks[r.stretch * STRETCH // 8 : (r.stretch + 1) * STRETCH // 8] |= np.frombuffer(r.bits, np.uint8)
+    asked = rows.select("doc_id", "text", place)
+    return asked.mapInArrow(_sets(spark.sparkContext.broadcast(marks)), "doc_id long, node long, shingles binary")
 
 
 # ---- candidates ----------------------------------------------------------------------
@@ -434,7 +470,7 @@ def classes(docs: DataFrame, bits: int = REACH, most: int = BLOCK, crowd: int =
     members = common.joined(members, loads, "root", members.count())
     members = members.select(F.col("node").alias("_node"), "least", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # the set of one row of each node, of those that met any
-    sets = rows.mapInArrow(_sets, "doc_id long, node long, shingles binary")
+    sets = sets_of_some(rows, members.select(F.col("least").alias("doc_id")))
     chosen = sets.join(members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least")))
     chosen = common.saved(chosen.dropDuplicates(["node"]).select("root", "block", "blocks", "node", "shingles"), f"{folder}/sets")
     blocks = chosen.repartition(parts, "root", "block").sortWithinPartitions("root", "block")
