@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from wardspark.functions import normalize as N
 from wardspark.functions import tokens as K
 from wardspark.functions.stem import identity
 from wardspark.operators import classify as C
-from wardspark.operators import mask, token_plan
+from wardspark.operators import token_plan
 from wardspark.sources import jsonl
 from wardspark.sources.packs import Pack, PackLoader, builtin_packs, lexicon_frame
 from wardspark.streaming.stream import analyze_stream

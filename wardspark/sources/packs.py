@@ -38,11 +38,6 @@ class Pack:
     def lexicon(self) -> list[str]:
         return sorted(self.bad_words)
 
-    def vocabulary(self) -> list[str]:
-        """Every term that an analysis can report: the words and their stems."""
-        stem = getattr(self.stemmer, "stem", None)
-        return sorted(self.bad_words | ({stem(w) for w in self.bad_words} if stem else set()))
-
 
 class PackLoader:
     """Reads packs in the public JSON form.
