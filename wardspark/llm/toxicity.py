@@ -71,8 +71,8 @@ class Model:
 
 def choose(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(terms by chi-square, those found almost only in toxic texts); terms are small numbers."""
-    pos = np.bincount(terms, y[docs])
     all_ = np.bincount(terms).astype(float)
+    pos = np.bincount(terms[y[docs] > 0], minlength=len(all_)).astype(float)
     n, p = len(y), y.sum()
     ok = all_ >= RARE
     a, b, c = pos[ok], all_[ok] - pos[ok], p - pos[ok]
@@ -118,9 +118,11 @@ def fit(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, steps: int = STEPS,
     known = ordered[heads[np.diff(np.append(heads, len(ordered))) >= RARE]]
     if not len(known):
         return None
-    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    del ordered, heads
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1).astype(np.int32)
     often = known[at] == terms
     docs, terms = docs[often], at[often]
+    del at, often
     best, marked = choose(docs, terms, y, CHOSEN)
     is_marked = np.zeros(len(known), bool)
     is_marked[marked] = True
@@ -155,9 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = SAMPLE) ->
     rows = sampling.gathered(sampling.labelled(docs, labels, "toxic", most, where), _featured, "doc_id long, label int, terms binary")
     if not rows:
         return None
-    held = [np.frombuffer(r.terms, "<i4") for r in rows]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in held])
-    return fit(doc, np.concatenate(held), np.array([int(r.label > 0) for r in rows]))
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.terms) // 4 for r in rows])
+    y = np.array([int(r.label > 0) for r in rows])
+    terms = np.concatenate([np.frombuffer(r.terms, "<i4") for r in rows])
+    del rows
+    return fit(doc, terms, y)
 
 
 def _scorer(model: Model | None):
