@@ -114,6 +114,19 @@ def test_katz_frequent_words_and_many_slices(spark, tmp_path, monkeypatch):
     assert n == sum(len(t.split()) for i, t in rows if common.crc_of(i) % 7 != 2)  # the first token of a text has no two words before it
 
 
+def test_katz_runs():
+    """Triples are ordered alike by one packed number and, where three do not fit into it, by three."""
+    rng = np.random.default_rng(2)
+    a, b, c = rng.integers(0, 9, (3, 500)).astype(np.int32)
+    known = rng.random(500) < 0.8
+    want = sorted(zip(b[known].tolist(), a[known].tolist(), c[known].tolist()))
+    for size in (9, 1 << 22):
+        order, heads, *distinct = katz._runs(a, b, c, known, size)
+        assert list(zip(b[order].tolist(), a[order].tolist(), c[order].tolist())) == want
+        x, y, z = (v.tolist() for v in distinct)
+        assert list(zip(y, x, z)) == sorted(set(want)) and [want[h] for h in heads] == sorted(set(want))
+
+
 def test_katz_equals_sql(spark):
     got, want = compare(spark, duck(SF), SF, katz.op1_katz, katz.SQL)
     assert got == want

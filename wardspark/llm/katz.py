@@ -36,7 +36,8 @@ How it runs:
    totals and back-off weights (kept to single precision; scores use double), and
    score their segments from the lowest order up: a partial sum a document. The sums of a slice meet and give the scores.
 
-An owner holds its share of the tokens; more shuffle partitions make shares smaller.
+An owner works through its share of the tokens in ``PARTS`` parts, by middle words;
+more shuffle partitions make shares smaller.
 
 Null text is empty: one token, the end. Very long texts are scored whole. Repeated
 rows count and score each. Ties in the numbering go by word. Null ids are like the
@@ -72,6 +73,8 @@ HOT = "kind int, id long, n long, span long, uni double, left array<long>"
 TRIPLES, PAIRS, FREQUENT = 3, 2, 1
 #: Bits of the ranges of word numbers that pairs of frequent words are kept in.
 SPAN = 20
+#: Parts of an owner's share, of which it holds one at a time.
+PARTS = 4
 PART = "chunk long, kind int, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, at array<int>, value array<double>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -222,14 +225,36 @@ def _ranked_tokens(row: dict, folder: str) -> tuple[np.ndarray, np.ndarray, np.n
     local = np.frombuffer(common.read_file(f"{folder}/numbers", f"{row['chunk']}.u4") if lengths.any() else b"", "<u4")
     numbers, place = np.unique(np.append(local, np.uint32(END)), return_inverse=True)
     tokens = unpack(row["tokens"], "<u4")
-    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-    out = np.zeros(len(doc), np.int64)  # the end has the smallest number
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    out = np.zeros(len(doc), np.int32)  # the end has the smallest number
     is_word = np.ones(len(doc), bool)
     is_word[np.cumsum(lengths + 1) - 1] = False
-    out[is_word] = place[tokens]
+    out[is_word] = place.astype(np.int32)[tokens]
     return out, numbers, doc
 
 
+def _runs(a: np.ndarray, b: np.ndarray, c: np.ndarray, known: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(order of the known triples by b, a and c; where each distinct one begins in it; its a, b and c); all are below ``size``."""
+    n, bits = int(known.sum()), int(size).bit_length()
+    if 3 * bits < 64:  # as in all slices but those of a very long text: one number that sorts like the three
+        key = b.astype(np.int64)
+        key <<= bits
+        key |= a
+        key <<= bits
+        key |= c
+        key[~known] = np.iinfo(np.int64).max
+        order = np.argsort(key)[:n]
+        key = key[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        key, mask = key[heads], (1 << bits) - 1
+        return order, heads, key >> bits & mask, key >> 2 * bits, key & mask
+    order = np.flatnonzero(known)
+    order = order[np.lexsort((c[order], a[order], b[order]))]
+    a, b, c = a[order], b[order], c[order]
+    heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+    return order, heads, a[heads], b[heads], c[heads]
+
+
 def _write_numbers(folder: str):
     """Rows (chunk, pos, gid), sorted by chunk and pos: one file of numbers a chunk, unknown where there is none."""
 
@@ -259,16 +284,16 @@ def _segments(folder: str, owners: list[int], hot: int, most: int = 256 << 20):
     """Writes the triples of a task's slices by owner; reports where each owner's segment is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[] for _ in owners]
+        held: list[list[bytes]] = [[] for _ in range(PARTS * len(owners))]
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, size
-            name, made = f"{uuid.uuid4().hex}.seg", [b"".join(struct.pack("<Q", len(x)) + x for x in parts) for parts in held]
+            name, made = f"{uuid.uuid4().hex}.seg", [b"".join(struct.pack("<Q", len(x)) + x for part in held[k : k + PARTS] for x in part) for k in range(0, len(held), PARTS)]
             common.write_file(f"{folder}/segments", name, b"".join(made))
             sizes = np.array([len(x) for x in made])
             used, starts = np.flatnonzero(sizes), np.cumsum(sizes) - sizes
-            held, size = [[] for _ in owners], 0
+            held, size = [[] for _ in held], 0
             cols = [pa.array(np.array(owners, np.int32)[used]), pa.array([name] * len(used)), pa.array(starts[used]), pa.array(sizes[used])]
             return pa.record_batch(cols, names=["owner", "name", "start", "size"])
 
@@ -276,31 +301,30 @@ def _segments(folder: str, owners: list[int], hot: int, most: int = 256 << 20):
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in ("chunk", "tokens", "lengths", "held")}
                 c, numbers, doc = _ranked_tokens(row, folder)
-                b = np.concatenate([[0], c[:-1]])[: len(c)]  # an end stands before every text
-                a = np.concatenate([[0], b[:-1]])[: len(b)]
+                b = np.zeros_like(c)
+                b[1:] = c[:-1]  # an end stands before every text
+                a = np.zeros_like(c)
+                a[1:] = b[:-1]
                 a[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
-                train = ~np.array(row["held"], bool)[doc]
                 known = numbers[b] != UNKNOWN
                 if not known.any():
                     continue
-                a, b, c, doc, train = (x[known] for x in (a, b, c, doc, train))
-                bits = int(len(numbers)).bit_length()  # places sort like numbers, and three of them fit into 63 bits but for slices of very long texts
-                order = np.argsort((b << (2 * bits)) | (a << bits) | c) if 3 * bits < 64 else np.lexsort((c, a, b))
-                a, b, c, doc, train = (x[order] for x in (a, b, c, doc, train))
-                heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-                reps = np.diff(np.append(heads, len(c)))
-                trained, ba, c = np.add.reduceat(train.astype(np.int64), heads), joint(numbers[b[heads]], numbers[a[heads]]), numbers[c[heads]]
+                order, heads, a, b, c = _runs(a, b, c, known, len(numbers))
+                doc, reps = doc[order], np.diff(np.append(heads, len(order)))
+                del order, known
+                trained = np.add.reduceat(~np.array(row["held"], bool)[doc], heads, dtype=np.int64)
+                ba, c = joint(numbers[b], numbers[a]), numbers[c]
                 b = ba >> np.uint64(32)
-                owner = (mix(np.where(b == END, c, np.where(b < hot, ba, b))) % np.uint64(len(owners))).astype(np.int32)
+                owner = (mix(np.where(b == END, c, np.where(b < hot, ba, b))) % np.uint64(len(held))).astype(np.int32)
                 by = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[by], np.arange(len(owners) + 1))
+                cuts = np.searchsorted(owner[by], np.arange(len(held) + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
                     at = by[cuts[k] : cuts[k + 1]]
                     r = reps[at]
                     place = np.repeat(heads[at] - (np.cumsum(r) - r), r) + np.arange(r.sum())
                     steps = np.diff(b[at].astype(np.int64), prepend=0)
                     arrays = [steps, ba[at] & np.uint64(0xFFFFFFFF), c[at], trained[at], r, doc[place]]
-                    made = struct.pack("<q", row["chunk"]) + pack_all(arrays)
+                    made = struct.pack("<qq", row["chunk"], k % PARTS) + pack_all(arrays)
                     held[k].append(made)
                     size += len(made)
                 if size > most:
@@ -311,25 +335,29 @@ def _segments(folder: str, owners: list[int], hot: int, most: int = 256 << 20):
     return run
 
 
-def _owned(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[int, list[tuple]]]:
-    """(owner, its segments as (chunk, b and a joint, c, trained, reps, docs)); a partition has one owner, or few where keys fall together."""
+def _owned(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[int, list[list[tuple]]]]:
+    """(owner, the segments of each of its parts as (chunk, packed)); a partition has one owner, or few where keys fall together."""
     where: dict[int, list[tuple]] = {}
     for batch in batches:
         for owner, *at in zip(*[batch.column(c).to_pylist() for c in ("owner", "name", "start", "size")], strict=True):
             where.setdefault(owner, []).append(at)
     for owner, places in sorted(where.items()):
-        found = []
+        found: list[list[tuple]] = [[] for _ in range(PARTS)]
         for name, start, size in sorted(places):
             data, at = common.read_file(f"{folder}/segments", name, start, size), 0
             while at < len(data):
-                (n,) = struct.unpack_from("<Q", data, at)
-                (chunk,) = struct.unpack_from("<q", data, at + 8)
-                steps, a, *rest = unpack_all(data[at + 16 : at + 8 + n])
-                found.append((chunk, joint(np.cumsum(steps, dtype=np.uint64), a), *rest))
+                n, chunk, part = struct.unpack_from("<Qqq", data, at)
+                found[part].append((chunk, data[at + 24 : at + 8 + n]))
                 at += 8 + n
         yield owner, found
 
 
+def _opened(packed: bytes) -> list[np.ndarray]:
+    """[b and a joint, c, trained, reps, docs] of a segment."""
+    steps, a, *rest = unpack_all(packed)
+    return [joint(np.cumsum(steps, dtype=np.uint64), a), *rest]
+
+
 # ---- 4. counts ---------------------------------------------------------------------------
 def summed(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (high, low) in order, with the sums of their counts."""
@@ -354,8 +382,8 @@ def _table(**columns: np.ndarray) -> bytes:
     return sink.getvalue()
 
 
-def _read_table(folder: str, owner: int) -> list[np.ndarray]:
-    table = pq.read_table(io.BytesIO(common.read_file(f"{folder}/owner={owner}", "part.parquet")))
+def _read_table(folder: str, owner: int, part: int) -> list[np.ndarray]:
+    table = pq.read_table(io.BytesIO(common.read_file(f"{folder}/owner={owner}", f"part-{part}.parquet")))
     return [table.column(c).to_numpy() for c in table.column_names]
 
 
@@ -375,17 +403,18 @@ def _count(folder: str, hot: int):
     """Writes each owner's part of the tables of triples and pairs; COUNTED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, segments in _owned(batches, folder):
-            ba, c, n = (np.concatenate([s[k] for s in segments]) for k in (1, 2, 3))
-            ba, c, n = summed(ba[n > 0], c[n > 0], n[n > 0])
+        for owner, part, segments in ((o, k, x) for o, found in _owned(batches, folder) for k, x in enumerate(found) if x):
+            trained = [[x[s[2] > 0] for x in s[:3]] for s in (_opened(packed) for _, packed in segments)]
+            ba, c, n = summed(*(np.concatenate(x) for x in zip(*trained, strict=True)))
+            del trained, segments
             b = (ba >> np.uint64(32)).astype(np.uint32)
             inner = b != END
             counts = n.astype(np.uint32) if n.max(initial=0) <= UNKNOWN else n
-            common.write_file(f"{folder}/triples/owner={owner}", "part.parquet", _table(a=ba.astype(np.uint32)[inner], b=b[inner], c=c[inner], n=counts[inner]))
+            common.write_file(f"{folder}/triples/owner={owner}", f"part-{part}.parquet", _table(a=ba.astype(np.uint32)[inner], b=b[inner], c=c[inner], n=counts[inner]))
             rows = _counts_of_counts(TRIPLES, n[inner])
             pb, pc, pn = summed(b, c, n)
             cold = pb >= hot
-            common.write_file(f"{folder}/pairs/owner={owner}", "part.parquet", _table(b=pb[cold], c=pc[cold], n=pn[cold]))
+            common.write_file(f"{folder}/pairs/owner={owner}", f"part-{part}.parquet", _table(b=pb[cold], c=pc[cold], n=pn[cold]))
             rows += _counts_of_counts(PAIRS, pn[cold])
             pb, pc, pn = pb[~cold], pc[~cold], pn[~cold]
             span = pc >> np.uint32(SPAN)
@@ -441,9 +470,9 @@ class Order:
         heads = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]])) if len(history) else np.zeros(0, np.int64)
         self.histories, self.d = history[heads], d
         spans = np.diff(np.append(heads, len(history)))
-        self.events, self.n = joint(np.repeat(np.arange(len(heads)), spans), word), n
+        self.events, self.n = joint(np.repeat(np.arange(len(heads), dtype=np.uint32), spans), word), n
         if len(heads):
-            by_count = np.stack([np.add.reduceat((n == r).astype(np.int64), heads) for r in range(1, DISCOUNTED + 1)], 1)
+            by_count = np.stack([np.add.reduceat(n == r, heads, dtype=np.int32) for r in range(1, DISCOUNTED + 1)], 1)
             self.total, self.alpha = backoff(np.add.reduceat(n, heads), by_count, np.add.reduceat(lower, heads), d)
         else:
             self.total = self.alpha = np.zeros(0)
@@ -467,10 +496,10 @@ def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """P(c | b) of an owner: its own pairs, and those of frequent words from their files, range by range."""
+    """P(c | b) of a part of an owner: its own pairs, and those of frequent words from their files, range by range."""
 
-    def __init__(self, folder: str, owner: int, uni: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float, list[int]]]):
-        b, c, n = _read_table(f"{folder}/pairs", owner)
+    def __init__(self, folder: str, owner: int, part: int, uni: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float, list[int]]]):
+        b, c, n = _read_table(f"{folder}/pairs", owner, part)
         self.order = Order(b.astype(np.uint64), c, n.astype(np.int64), uni.probability(c.astype(np.int64)), d)
         self.folder, self.uni, self.d, self.hot = folder, uni, d, hot
 
@@ -499,24 +528,35 @@ class Pairs:
 def _score(folder: str, uni: Unigrams, d2: np.ndarray, d3: np.ndarray, hot: dict[int, tuple[float, float, list[int]]], order: int):
     """Reads each owner's tables, writes its back-off tables, and scores its segments."""
 
+    def scores(owner: int, part: int, segments: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        pairs = Pairs(folder, owner, part, uni, d2, hot)
+        # the segments stay packed, and are opened one by one: once for their pairs, once for their scores
+        asked = np.unique(np.concatenate([np.unique(joint(ba >> np.uint64(32), c)) for ba, c, *_ in (_opened(packed) for _, packed in segments)]))
+        of_pairs = pairs.probability(asked)
+        a, b, c, n = _read_table(f"{folder}/triples", owner, part)
+        triples = Order(joint(b, a), c, n.astype(np.int64), of_pairs[np.searchsorted(asked, joint(b, c))], d3)
+        known, top = pairs.order, triples.histories
+        common.write_file(f"{folder}/backoff2/owner={owner}", f"part-{part}.parquet", _table(b=known.histories.astype(np.uint32), total=known.total, alpha=known.alpha.astype(np.float32)))
+        common.write_file(f"{folder}/backoff3/owner={owner}", f"part-{part}.parquet", _table(a=top.astype(np.uint32), b=(top >> np.uint64(32)).astype(np.uint32), total=triples.total, alpha=triples.alpha.astype(np.float32)))
+        del a, b, c, n
+        for chunk, packed in segments:
+            ba, c, _, reps, docs = _opened(packed)
+            p = uni.probability(c.astype(np.int64)) if order == 1 else of_pairs[np.searchsorted(asked, joint(ba >> np.uint64(32), c))]
+            p = triples.probability(ba, c, p) if order == 3 else p
+            sums = np.bincount(docs, np.repeat(np.log10(p), reps))
+            used = np.flatnonzero(sums)
+            yield chunk, used.astype(np.int32), sums[used]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, segments in _owned(batches, folder):
-            pairs = Pairs(folder, owner, uni, d2, hot)
-            asked, place = np.unique(joint(np.concatenate([s[1] for s in segments]) >> np.uint64(32), np.concatenate([s[2] for s in segments])), return_inverse=True)
-            of_pairs = pairs.probability(asked)
-            a, b, c, n = _read_table(f"{folder}/triples", owner)
-            triples = Order(joint(b, a), c, n.astype(np.int64), of_pairs[np.searchsorted(asked, joint(b, c))], d3)
-            known, top = pairs.order, triples.histories
-            common.write_file(f"{folder}/backoff2/owner={owner}", "part.parquet", _table(b=known.histories.astype(np.uint32), total=known.total, alpha=known.alpha.astype(np.float32)))
-            common.write_file(f"{folder}/backoff3/owner={owner}", "part.parquet", _table(a=top.astype(np.uint32), b=(top >> np.uint64(32)).astype(np.uint32), total=triples.total, alpha=triples.alpha.astype(np.float32)))
-            at = 0
-            for chunk, ba, c, _, reps, docs in segments:
-                p = uni.probability(c.astype(np.int64)) if order == 1 else of_pairs[place[at : at + len(c)]]
-                p = triples.probability(ba, c, p) if order == 3 else p
-                at += len(c)
-                sums = np.bincount(docs, np.repeat(np.log10(p), reps))
-                used = np.flatnonzero(sums)
-                yield _part(chunk, 1, at=used.astype(np.int32), value=sums[used])
+        for owner, found in _owned(batches, folder):
+            sums: dict[int, list[tuple]] = {}  # of the documents of each slice, over the parts
+            for part, segments in enumerate(found):
+                for chunk, at, value in scores(owner, part, segments) if segments else ():
+                    sums.setdefault(chunk, []).append((at, value))
+            for chunk, made in sums.items():
+                at, value = (np.concatenate(x) for x in zip(*made, strict=True))
+                used, place = np.unique(at, return_inverse=True)
+                yield _part(chunk, 1, at=used, value=np.bincount(place, value))
 
     return run
 
