@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,7 +114,9 @@ class Encoder(dict):
     characters, between a letter or digit and a full stop or comma, and around a
     lone line end; what lies between cuts is encoded alone, once, and kept. The store
     is emptied when it holds ``most`` pieces. A piece is looked up without its
-    leading space; one that has none is marked by ``MARK``.
+    leading space; one that has none is marked by ``MARK``. A piece of letters is one
+    word to the pre-tokenizer, too: the library's model gets it at once, its bytes
+    spelled as byte-level tokenizers do.
 
     Texts in which those places are less plain are cut before single spaces only,
     texts that hold a special token or the mark not at all.
@@ -123,6 +127,7 @@ class Encoder(dict):
     def __init__(self, path: str, most: int = 800_000):
         common.cpu_quiet()
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -130,12 +135,17 @@ class Encoder(dict):
         pre = self.tokenizer.pre_tokenizer
         self.cuts = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in repr(pre) and "use_regex=True" in repr(pre)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model if self.cuts and isinstance(self.tokenizer.model, BPE) else None
 
     def _ids(self, text: str) -> bytes:
-        return struct.pack(f"<{len(ids := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
-        made = self._ids(piece[1:] if piece[:1] == self.MARK else " " + piece)
+        text, letters = (piece[1:], piece[1:]) if piece[:1] == self.MARK else (" " + piece, piece)
+        if self.model is not None and letters.isalpha() and max(letters) < OLD:
+            made = _packed([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(SPELLED))])
+        else:
+            made = self._ids(text)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -157,6 +167,17 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, f"{mark}{text}".replace("\n", f" {mark}\n {mark}").split(" ")))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Whether this machine's own integers are those of the files.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Letters below are letters to every library, whatever its version of Unicode.
+OLD = "\u0250"
+#: How byte-level tokenizers spell bytes: printable ones as they are, the others in order from U+0100.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: White space other than the lone space or line end.
 UNPLAIN = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 #: A full stop or comma that does not follow a letter or digit.
